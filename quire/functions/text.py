@@ -48,7 +48,7 @@ def py_split_ws(c: Column | str) -> Column:
 
 def has_text(c: Column | str) -> Column:
     """Truthiness of ``s.strip()``: at least one non-whitespace character."""
-    return F.coalesce(F.length(py_strip(c)) > 0, F.lit(False))
+    return F.coalesce(col_(c).rlike("[^" + PY_WHITESPACE[1:]), F.lit(False))
 
 
 def tokens(c: Column | str) -> Column:

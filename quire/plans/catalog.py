@@ -95,3 +95,53 @@ def sql_bm25_ctes(queries: str = "q", prefix: str = "") -> str:
 
 DOCS_CTE = "docs as (select cast(doc_id as varchar) as article_id, text as content, source from documents)"
 BENCH_CTE = "q as (select item_id as query_id, text as query from benchmark)"
+
+
+# DuckDB rendition of the derived archive of FIXTURES.md §3.
+_NL = "chr(10)"
+_DATE_STR = "strftime(date '2004-01-01' + cast(doc_id % 5000 as integer), '%Y%m%d')"
+ARCHIVE_SQL = f"""
+select doc_id,
+  case when doc_id % 10 = 0 then concat(source, '_', doc_id, '.txt')
+       when doc_id % 10 = 1 then concat(doc_id, '_', {_DATE_STR}, '.txt')
+       when doc_id % 17 = 0 then concat(source, '_20061399_', doc_id, '.txt')
+       else concat(source, '_', {_DATE_STR}, '_', doc_id, '.txt') end as filename,
+  concat(case when doc_id % 7 = 0 then '' else concat('Title: Article ', doc_id, ': part', {_NL}) end,
+         case when doc_id % 11 = 0 then '' else concat('Author:  Writer ', doc_id % 23, ' ', {_NL}) end,
+         case when doc_id % 5 = 0 then concat('Date: 2010-01-01', {_NL}) else '' end,
+         case when doc_id % 13 = 0 then '' else concat('---', {_NL}) end,
+         coalesce(text, '')) as raw
+from documents"""
+
+
+def sql_parse_ctes(src: str, out: str) -> str:
+    """CTEs parsing ``src (doc_id, filename, raw)`` into ``{out}`` with
+    ``doc_id, filename, article_id, pairs, header_text, body, title, author,
+    fdate, hdate``."""
+    strip = sql_strip
+    return f"""
+{out}_1 as (select doc_id, filename, string_split(raw, chr(10)) as lines from {src}),
+{out}_2 as (select *, coalesce(list_position(list_transform(lines, lambda l: {strip('l')} = '---'), true), 0) as first
+            from {out}_1),
+{out}_3 as (select doc_id, filename,
+       case when first = 0 then lines else lines[1:first - 1] end as hl,
+       case when first = 0 then '' else array_to_string(
+            list_filter(lines[first + 1:], lambda l: {strip('l')} <> '---'), chr(10)) end as body
+       from {out}_2),
+{out}_4 as (select doc_id, filename, body,
+       list_transform(list_filter(hl, lambda l: instr(l, ':') > 0),
+                      lambda l: {{'key': lower({strip("split_part(l, ':', 1)")}),
+                                  'value': {strip("substr(l, instr(l, ':') + 1)")}}}) as pairs0
+       from {out}_3),
+{out}_5 as (select doc_id, filename, body,
+       list_sort(list_filter(pairs0, lambda p, i: not list_contains(list_transform(pairs0[i + 1:], lambda q: q.key), p.key))) as pairs
+       from {out}_4),
+{out} as (select doc_id, filename, left(sha256(filename), 24) as article_id, pairs, body,
+       array_to_string(list_transform(pairs, lambda p: p.key || '=' || p.value), chr(10)) as header_text,
+       coalesce(list_filter(pairs, lambda p: p.key = 'title')[1].value,
+                regexp_replace(filename, '^(.*[^.].*)\\.[^.]*$', '\\1')) as title,
+       coalesce(list_filter(pairs, lambda p: p.key = 'author')[1].value, 'Unknown') as author,
+       list_filter(pairs, lambda p: p.key = 'date')[1].value as hdate,
+       (select case when x is null then null else substr(x, 1, 4) || '-' || substr(x, 5, 2) || '-' || substr(x, 7, 2) end
+          from (select list_filter(string_split(filename, '_'), lambda p: regexp_full_match(p, '[0-9]{{8}}'))[1] as x)) as fdate
+       from {out}_5)"""

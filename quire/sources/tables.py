@@ -85,7 +85,7 @@ def derived_archive(documents: DataFrame) -> DataFrame:
         F.when(d % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("Author:  Writer "), d % 23, F.lit(" "), nl)),
         F.when(d % 5 == 0, F.concat(F.lit("Date: 2010-01-01"), nl)).otherwise(F.lit("")),
         F.when(d % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("---"), nl)),
-        F.col("text"),
+        F.coalesce(F.col("text"), F.lit("")),
     )
     return documents.select(d.alias("doc_id"), filename.alias("filename"), raw.alias("raw"))
 
