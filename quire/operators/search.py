@@ -119,9 +119,11 @@ def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5
     hits = hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("long"))
     hits = hits.join(maybe_broadcast(queries.select("query_id", "query"), q_small), "query_id")
     rows = attach_articles(hits, articles, n_queries * k if q_small else None, max_broadcast_rows)
+    # lower-case each hit's content once: the snippet refers to it per term
+    rows = rows.withColumn("_lc", F.lower(F.coalesce("content", F.lit(""))))
     return rows.select(
         "query_id", "query", "rank", "article_id", "title",
-        snippet(F.col("content"), F.col("query")).alias("preview"),
+        snippet(F.col("_lc"), F.col("query")).alias("preview"),
         "score", "publish_date", "author", "total")
 
 
