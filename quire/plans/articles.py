@@ -167,7 +167,7 @@ select article_id as id, coalesce(title, 'Untitled') as title, {preview} as cont
 from arts order by {order} limit {limit} offset {(page_no - 1) * limit}"""
 
 
-NEWEST = "publish_date desc nulls last, article_id"
+NEWEST = "arts.publish_date desc nulls last, arts.article_id"
 
 
 def _page(spark, sf_dir, order, page_no, limit, preview):
@@ -187,7 +187,7 @@ def list_newest_page3(spark, sf_dir):
     return _page(spark, sf_dir, listing.newest_first(), 3, 50, None)
 
 
-@register("list_store_order_page2", _page_sql("article_id", 2, 10, "left(content, 2000)"))
+@register("list_store_order_page2", _page_sql("arts.article_id", 2, 10, "left(content, 2000)"))
 def list_store_order_page2(spark, sf_dir):
     return _page(spark, sf_dir, listing.store_order(), 2, 10, 2000)
 
