@@ -106,6 +106,23 @@ def substr0(c: Column, start0: Column, length: Column) -> Column:
     return F.substr(c, start0 + 1, length)
 
 
+def first_match_pos(content_lc: Column, query: Column) -> Column:
+    """Smallest 0-based position of any whitespace-split term of the
+    lower-cased query in ``content_lc`` (substring match); null if none."""
+    terms = py_split_ws(F.lower(F.coalesce(query, F.lit(""))))
+    return F.array_min(F.filter(F.transform(terms, lambda t: find_pos(content_lc, t)), lambda x: x >= 0))
+
+
+def snippet_at(content_lc: Column, p: Column, before: int = 100, after: int = 300,
+               head: int = 400) -> Column:
+    """The preview for a precomputed match position ``p`` (see ``snippet``)."""
+    start = F.greatest(F.lit(0), p - before)
+    end = F.least(F.length(content_lc), p + after)
+    ctx = F.when(p.isNull(), F.substr(content_lc, F.lit(1), F.lit(head))) \
+        .otherwise(substr0(content_lc, start, end - start))
+    return F.concat(F.lit("..."), ctx, F.lit("..."))
+
+
 def snippet(content: Column | str, query: Column | str, before: int = 100,
             after: int = 300, head: int = 400) -> Column:
     """Search preview: lower-cased window around the first query-term match.
@@ -113,13 +130,18 @@ def snippet(content: Column | str, query: Column | str, before: int = 100,
     Terms are the whitespace split of the lower-cased query, matched as
     substrings. The window is ``[max(0, p-before), min(len, p+after))`` around
     the smallest match position ``p``; with no match, the first ``head``
-    characters. Wrapped in ``...``.
+    characters. Wrapped in ``...``. (For many rows prefer ``with_snippet``,
+    which evaluates ``p`` once per row.)
     """
     c = F.lower(F.coalesce(col_(content), F.lit("")))
-    terms = py_split_ws(F.lower(F.coalesce(col_(query), F.lit(""))))
-    p = F.array_min(F.filter(F.transform(terms, lambda t: find_pos(c, t)), lambda x: x >= 0))
-    start = F.greatest(F.lit(0), p - before)
-    end = F.least(F.length(c), p + after)
-    ctx = F.when(p.isNull(), F.substr(c, F.lit(1), F.lit(head))) \
-        .otherwise(substr0(c, start, end - start))
-    return F.concat(F.lit("..."), ctx, F.lit("..."))
+    return snippet_at(c, first_match_pos(c, col_(query)), before, after, head)
+
+
+def with_snippet(df, content: str, query: str, out: str = "preview", before: int = 100,
+                 after: int = 300, head: int = 400):
+    """Add column ``out`` with the snippet, computing the lower-cased content
+    and the match position once per row (separate projections, each input
+    used several times, so Catalyst keeps them apart)."""
+    step = df.withColumn("_lc", F.lower(F.coalesce(F.col(content), F.lit(""))))
+    step = step.withColumn("_p", first_match_pos(F.col("_lc"), F.col(query)))
+    return step.withColumn(out, snippet_at(F.col("_lc"), F.col("_p"), before, after, head)).drop("_lc", "_p")

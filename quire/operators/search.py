@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import py_split_ws, snippet, tokens
+from ..functions.text import py_split_ws, tokens, with_snippet
 from .index import TextIndex
 from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
 
@@ -61,13 +61,17 @@ def weighted_query_terms(query_terms: DataFrame, index: TextIndex,
 
 def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = K1, b: float = B,
                 text_col: str = "query",
-                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                weighted: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """All candidate scores ``(query_id, article_id, score)``.
 
     A candidate has at least one query term. Scores are rounded to
     ``SCORE_DIGITS`` places so the ranking does not depend on summation order.
+    ``weighted`` passes precomputed ``weighted_query_terms`` output.
     """
-    qt, small = weighted_query_terms(query_term_table(queries, text_col), index, max_broadcast_rows)
+    if weighted is None:
+        weighted = weighted_query_terms(query_term_table(queries, text_col), index, max_broadcast_rows)
+    qt, small = weighted
     avgdl = index.avgdl()
     p = index.postings
     contrib = p.join(maybe_broadcast(qt.select("term", "query_id", "idf"), small), "term").select(
@@ -119,11 +123,9 @@ def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5
     hits = hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("long"))
     hits = hits.join(maybe_broadcast(queries.select("query_id", "query"), q_small), "query_id")
     rows = attach_articles(hits, articles, n_queries * k if q_small else None, max_broadcast_rows)
-    # lower-case each hit's content once: the snippet refers to it per term
-    rows = rows.withColumn("_lc", F.lower(F.coalesce("content", F.lit(""))))
+    rows = with_snippet(rows, "content", "query", "preview")
     return rows.select(
-        "query_id", "query", "rank", "article_id", "title",
-        snippet(F.col("_lc"), F.col("query")).alias("preview"),
+        "query_id", "query", "rank", "article_id", "title", "preview",
         "score", "publish_date", "author", "total")
 
 
