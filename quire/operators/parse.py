@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name_date, has_text, py_strip, strip_extension
+from ..functions.text import PY_WHITESPACE, file_name_date, has_text, py_strip, strip_extension
 
 # Fixed values.
 SEPARATOR = "---"
@@ -34,12 +34,21 @@ def decode_files(raw_files: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(as_text)
     return raw_files.select(
         "filename",
-        F.when(valid, F.regexp_replace(as_text, "\r\n?", "\n")).alias("text"),
+        F.when(valid & (F.instr(as_text, "\r") > 0), F.regexp_replace(as_text, "\r\n?", "\n"))
+        .when(valid, as_text).alias("text"),
         F.when(F.col("content").isNull(), F.lit("unreadable file"))
         .when(~valid, F.lit("'utf-8' codec can't decode the file")).alias("error"),
     )
 
 
+# A line that strips to the separator, as one anchored match (no string copy).
+SEPARATOR_LINE = f"^{PY_WHITESPACE}*{SEPARATOR}{PY_WHITESPACE}*$"
+
+
+def is_separator(line) -> F.Column:
+    return line.rlike(SEPARATOR_LINE)
+
+
 def article_id_for(filename) -> F.Column:
     """Deterministic store id: the first 24 hex digits of SHA-256(filename)."""
     return F.substring(F.sha2(filename, 256), 1, ID_HEX_CHARS)
@@ -50,14 +59,14 @@ def split_header_body(texts: DataFrame) -> DataFrame:
     keep = [c for c in texts.columns if c != "text"]
     s1 = texts.select(*keep, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
     s2 = s1.select(*keep, "_lines",
-                   F.transform("_lines", lambda l: py_strip(l) == SEPARATOR).alias("_sep"))
+                   F.transform("_lines", lambda l: is_separator(l)).alias("_sep"))
     s3 = s2.select(*keep, "_lines", "_sep", F.array_position("_sep", True).cast("int").alias("_first"))
     n = F.size("_lines")
     first = F.col("_first")
     header_lines = F.when(first == 0, F.col("_lines")).otherwise(F.slice("_lines", F.lit(1), first - 1))
     body_lines = F.when(first == 0, F.array().cast("array<string>")).otherwise(
         F.filter(F.slice("_lines", first + 1, F.greatest(n - first, F.lit(0))),
-                 lambda l: py_strip(l) != SEPARATOR))
+                 lambda l: ~is_separator(l)))
     s4 = s3.select(*keep, header_lines.alias("_hl"),
                    F.array_join(body_lines, "\n").alias("body"))
     # key/value pairs with their line order; the last duplicate key wins

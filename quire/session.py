@@ -75,12 +75,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut its lineage.
 
-    Uses ``checkpoint()`` into the cluster's shared checkpoint folder, which
-    keeps the output partitioning of the plan, so co-partitioned index tables
-    stay co-partitioned after the cut.
+    Uses ``checkpoint()`` into the cluster's shared checkpoint folder (never a
+    local checkpoint). With ``keep_partitioning`` the checkpoint records the
+    plan's hash partitioning, so later aggregations and joins on the same keys
+    need no shuffle: adaptive execution is paused while the checkpoint job is
+    planned, because an adaptive plan reports its partitioning as unknown
+    before it has run.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
