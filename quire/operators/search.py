@@ -161,14 +161,17 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
                          max_broadcast_rows=max_broadcast_rows)
     # exclusions: anti join with postings of the excluded terms
     excl = parsed.select("query_id", F.explode(F.array_distinct("excluded")).alias("term"))
-    excl_small = count_upto(excl, max_broadcast_rows) <= max_broadcast_rows
-    banned = index.postings.select("term", "article_id").join(maybe_broadcast(excl, excl_small), "term") \
-        .select("query_id", "article_id")
-    scores = scores.join(banned, ["query_id", "article_id"], "left_anti")
+    n_excl = count_upto(excl, max_broadcast_rows)
+    if n_excl > 0:
+        banned = index.postings.select("term", "article_id") \
+            .join(maybe_broadcast(excl, n_excl <= max_broadcast_rows), "term").select("query_id", "article_id")
+        scores = scores.join(banned, ["query_id", "article_id"], "left_anti")
     # phrases: only candidates of queries that have phrases are checked
     with_phr = parsed.filter(F.size("phrases") > 0).select("query_id", "phrases")
-    phr_small = count_upto(with_phr, max_broadcast_rows) <= max_broadcast_rows
-    cand = scores.join(maybe_broadcast(with_phr, phr_small), "query_id", "left")
+    n_phr = count_upto(with_phr, max_broadcast_rows)
+    if n_phr == 0:
+        return scores
+    cand = scores.join(maybe_broadcast(with_phr, n_phr <= max_broadcast_rows), "query_id", "left")
     plain = cand.filter(F.col("phrases").isNull()).select("query_id", "article_id", "score")
     checked = (cand.filter(F.col("phrases").isNotNull())
                .join(articles.select("article_id", "title", "content"), "article_id")

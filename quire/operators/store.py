@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import conform_articles
 from .parse import error_rows
+from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
 
 ACTIONS = ("insert", "update", "skip", "error")
 
@@ -113,7 +114,7 @@ def batch_report(articles: DataFrame, batch_size: int = 50) -> DataFrame:
 # ------------------------------------------------------------------ upsert
 
 def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
-                    compare: str = "content") -> DataFrame:
+                    compare: str = "content", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """J1 + K4/K5 action column for every incoming file.
 
     ``incoming`` is a parse result (with ``error``). One outer join on the
@@ -124,7 +125,11 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     if compare not in ("content", "all"):
         raise ValueError("compare must be 'content' or 'all'")
     s = stored.select([F.col(c).alias(f"s_{c}") for c in stored.columns])
-    j = incoming.join(s, incoming["filename"] == s["s_filename"], "left")
+    # an increment that is proven small is broadcast and the stored table
+    # streams past it (no shuffle of the store); otherwise a sort-merge join
+    small = count_upto(incoming, max_broadcast_rows) <= max_broadcast_rows
+    inc = maybe_broadcast(incoming, small)
+    j = s.join(inc, inc["filename"] == s["s_filename"], "right")
     differs = ~F.col("content").eqNullSafe(F.col("s_content"))
     if compare == "all":
         for c in ("title", "author", "publish_date"):
@@ -148,7 +153,9 @@ def apply_import(stored: DataFrame, classified: DataFrame) -> DataFrame:
     """New snapshot: inserted and updated rows replace or join the stored rows;
     skipped, failed and untouched stored rows stay as they were."""
     changed = conform_articles(classified.filter(F.col("action").isin("insert", "update")))
-    kept = stored.join(changed.select("filename"), "filename", "left_anti")
+    n_changed = count_upto(changed.select("filename"), MAX_BROADCAST_ROWS)
+    kept = stored.join(maybe_broadcast(changed.select("filename"), n_changed <= MAX_BROADCAST_ROWS),
+                       "filename", "left_anti")
     return conform_articles(kept).unionByName(changed)
 
 
@@ -187,9 +194,16 @@ def key_violations(articles: DataFrame, key: str = "filename") -> DataFrame:
 
 
 def dedupe_on_key(articles: DataFrame, key: str = "filename", newest: str = "last_updated") -> DataFrame:
-    """K7: keep one row per key (the newest, ties by article id)."""
-    w = Window.partitionBy(key).orderBy(F.col(newest).desc_nulls_last(), F.col("article_id"))
-    return articles.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """K7: keep one row per key (the newest, ties by article id).
+
+    An aggregation (``min_by``), not a window: rows of a hot key are reduced
+    map-side, so a key holding a large share of the rows never lands whole
+    in one task."""
+    order = F.struct(F.coalesce(-F.unix_micros(F.col(newest)), F.lit(2 ** 62)).alias("o1"),
+                     F.col("article_id").alias("o2"))
+    cols = [c for c in articles.columns]
+    return (articles.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_row"))
+            .select("_row.*"))
 
 
 # ------------------------------------------------------------------ update / delete
