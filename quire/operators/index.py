@@ -98,19 +98,88 @@ def build_index(articles: DataFrame, fields: tuple[str, ...] = ("content",),
     return index
 
 
-def save_index(index: TextIndex, path: str) -> str:
+DOC_TERMS_DDL = "article_id STRING, dl BIGINT, terms ARRAY<STRUCT<term: STRING, tf: BIGINT>>"
+
+
+def _table_name(path: str) -> str:
+    import hashlib
+    return "quire_doc_terms_" + hashlib.sha1(path.encode()).hexdigest()[:16]
+
+
+def save_index(index: TextIndex, path: str, buckets: int | None = None) -> str:
     """Write the index as parquet tables under ``path`` (a shared folder).
 
-    ``term_stats`` is range-partitioned and sorted by term, so a lookup of a
-    few terms skips files and row groups by their min/max statistics.
+    ``doc_terms`` is written as a table **bucketed by article_id** (one file
+    per bucket), so a later session that loads it keeps the co-partitioning
+    and scores without shuffling candidate pairs. ``term_stats`` is
+    range-partitioned and sorted by term, so a lookup of a few terms skips
+    files and row groups by their min/max statistics.
     """
-    index.doc_terms.write.mode("overwrite").parquet(os.path.join(path, "doc_terms"))
+    spark = index.doc_terms.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dt_path = os.path.join(path, "doc_terms")
+    name = _table_name(dt_path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (index.doc_terms.repartition(n, "article_id").write.mode("overwrite")
+     .bucketBy(n, "article_id").option("path", dt_path).format("parquet").saveAsTable(name))
     (index.term_stats.repartitionByRange("term").sortWithinPartitions("term")
      .write.mode("overwrite").parquet(os.path.join(path, "term_stats")))
+    with open_text(spark, os.path.join(path, "_BUCKETS")) as f:
+        f.write(str(n))
     return path
 
 
+def open_text(spark: SparkSession, path: str):
+    """A small text file written through the Hadoop FileSystem API."""
+    import io
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    class _W(io.StringIO):
+        def close(self):
+            out = fs.create(p, True)
+            out.write(bytearray(self.getvalue().encode()))
+            out.close()
+            super().close()
+    return _W()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """First line of a small text file, through the Hadoop FileSystem API."""
+    if not _exists(spark, path):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_index(spark: SparkSession, path: str, fields: tuple[str, ...] = ("content",)) -> TextIndex:
-    return TextIndex(doc_terms=spark.read.parquet(os.path.join(path, "doc_terms")),
+    """Attach a saved index; ``doc_terms`` is read as a bucketed table."""
+    dt_path = os.path.join(path, "doc_terms")
+    n = _read_text(spark, os.path.join(path, "_BUCKETS"))
+    if n:
+        # keep the bucketed scan: the automatic rule cannot see that the
+        # per-(query, article) aggregation above Generate + broadcast join
+        # relies on the bucketing, and would drop it
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        name = _table_name(dt_path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({DOC_TERMS_DDL}) USING parquet "
+                  f"CLUSTERED BY (article_id) INTO {int(n)} BUCKETS LOCATION '{dt_path}'")
+        doc_terms = spark.table(name)
+    else:
+        doc_terms = spark.read.parquet(dt_path)
+    return TextIndex(doc_terms=doc_terms,
                      term_stats_table=spark.read.parquet(os.path.join(path, "term_stats")),
                      fields=fields)
