@@ -74,9 +74,11 @@ def main():
     stored.count()
     incoming = parse_articles(incoming_raw, "importer", run_ts="2024-01-02 00:00:00")
 
+    n_incoming = incoming_raw.count()
+
     def upsert():
-        classified = store.classify_import(stored, incoming, "2024-01-02 00:00:00")
-        run_noop(store.apply_import(stored, classified))
+        classified = store.classify_import(stored, incoming, "2024-01-02 00:00:00", incoming_bound=n_incoming)
+        run_noop(store.apply_import(stored, classified, changed_bound=n_incoming))
     t["import_upsert"] = timed(upsert, repeat)
 
     arts = good_rows(parse_articles(raw, "text")).cache()

@@ -114,20 +114,24 @@ def batch_report(articles: DataFrame, batch_size: int = 50) -> DataFrame:
 # ------------------------------------------------------------------ upsert
 
 def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
-                    compare: str = "content", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                    compare: str = "content", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                    incoming_bound: int | None = None) -> DataFrame:
     """J1 + K4/K5 action column for every incoming file.
 
     ``incoming`` is a parse result (with ``error``). One outer join on the
     unique key ``filename`` replaces a per-file lookup. The error case comes
     before the comparison. ``compare="content"`` compares the body only (a
     title-only edit is skipped); ``compare="all"`` also title, author, date.
+    ``incoming_bound`` is a known upper bound of the incoming rows (e.g. the
+    number of raw files, cheap to count); without it the parse is counted.
     """
     if compare not in ("content", "all"):
         raise ValueError("compare must be 'content' or 'all'")
     s = stored.select([F.col(c).alias(f"s_{c}") for c in stored.columns])
     # an increment that is proven small is broadcast and the stored table
     # streams past it (no shuffle of the store); otherwise a sort-merge join
-    small = count_upto(incoming, max_broadcast_rows) <= max_broadcast_rows
+    n = incoming_bound if incoming_bound is not None else count_upto(incoming, max_broadcast_rows)
+    small = n <= max_broadcast_rows
     inc = maybe_broadcast(incoming, small)
     j = s.join(inc, inc["filename"] == s["s_filename"], "right")
     differs = ~F.col("content").eqNullSafe(F.col("s_content"))
@@ -149,11 +153,14 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
         "error", action.alias("action"))
 
 
-def apply_import(stored: DataFrame, classified: DataFrame) -> DataFrame:
+def apply_import(stored: DataFrame, classified: DataFrame, changed_bound: int | None = None) -> DataFrame:
     """New snapshot: inserted and updated rows replace or join the stored rows;
-    skipped, failed and untouched stored rows stay as they were."""
+    skipped, failed and untouched stored rows stay as they were.
+    ``changed_bound``: a known upper bound of the changed rows (the incoming
+    count); without it the classified frame is counted."""
     changed = conform_articles(classified.filter(F.col("action").isin("insert", "update")))
-    n_changed = count_upto(changed.select("filename"), MAX_BROADCAST_ROWS)
+    n_changed = changed_bound if changed_bound is not None else \
+        count_upto(changed.select("filename"), MAX_BROADCAST_ROWS)
     kept = stored.join(maybe_broadcast(changed.select("filename"), n_changed <= MAX_BROADCAST_ROWS),
                        "filename", "left_anti")
     return conform_articles(kept).unionByName(changed)
@@ -174,15 +181,16 @@ def import_errors(classified: DataFrame) -> DataFrame:
 
 
 def import_articles(spark: SparkSession, stored_path: str | None, incoming: DataFrame,
-                    out_path: str, run_ts: str, compare: str = "content") -> tuple[str, DataFrame]:
+                    out_path: str, run_ts: str, compare: str = "content",
+                    incoming_bound: int | None = None) -> tuple[str, DataFrame]:
     """D end to end: classify, write the new snapshot to ``out_path`` and
     return ``(out_path, stats)``. ``stored_path`` None means an empty store."""
     from ..schemas import ARTICLES
     stored = spark.read.parquet(stored_path) if stored_path else spark.createDataFrame([], ARTICLES)
-    classified = classify_import(stored, incoming, run_ts, compare)
+    classified = classify_import(stored, incoming, run_ts, compare, incoming_bound=incoming_bound)
     from ..session import cut_lineage
     classified = cut_lineage(classified)
-    apply_import(stored, classified).write.mode("errorifexists").parquet(out_path)
+    apply_import(stored, classified, changed_bound=incoming_bound).write.mode("errorifexists").parquet(out_path)
     return out_path, import_stats(classified)
 
 

@@ -73,15 +73,16 @@ def upsert_batch(store_base: str, compare: str = "content", stats_base: str | No
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.limit(1).count() == 0:
+        n_files = batch.select("path").count()   # file listing rows: no parse needed
+        if n_files == 0:
             return
         run_ts = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         target = epoch_id + 1
         prev = latest_snapshot(spark, store_base, before=target)
         stored = spark.read.parquet(prev) if prev else spark.createDataFrame([], ARTICLES)
         incoming = parse_articles(batch, "importer", run_ts=run_ts)
-        classified = store.classify_import(stored, incoming, run_ts, compare)
-        snap = store.apply_import(stored, classified)
+        classified = store.classify_import(stored, incoming, run_ts, compare, incoming_bound=n_files)
+        snap = store.apply_import(stored, classified, changed_bound=n_files)
         snap.write.mode("overwrite").parquet(store.snapshot_path(store_base, target))
         if stats_base:
             (store.import_stats(classified).withColumn("epoch", F.lit(epoch_id).cast("long"))
