@@ -276,3 +276,31 @@ def qa_reader_hook(spark, sf_dir):
 
 
 _ = (TOKEN_RX,)
+
+
+# ------------------------------------------------------------ second query table
+
+CONV_CTE = ("q as (select cast(conv_id * 1000 + turn as bigint) as query_id, text as query "
+            "from conversations where role = 'user')")
+
+
+def _conv_queries(spark, sf_dir):
+    from ..sources.tables import queries_from_conversations
+    return queries_from_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+@register("conversation_top5", f"""
+with {DOCS_CTE}, {CONV_CTE}, {IDX}, {sql_bm25_ctes()}, {_topk_cte('top', 5)}
+select * from top""")
+def conversation_top5(spark, sf_dir):
+    from ..operators.search import bm25_topk
+    arts, idx = _corpus_index(spark, sf_dir)
+    return bm25_topk(_conv_queries(spark, sf_dir), idx, 5)
+
+
+@register("conversation_answers", READER_SQL.replace(BENCH_CTE, CONV_CTE) + """
+select query_id, answer_rank, answer, score, article_id, doc_rank from answers""")
+def conversation_answers(spark, sf_dir):
+    arts, idx = _corpus_index(spark, sf_dir)
+    r = qa.reader_answers(_conv_queries(spark, sf_dir), arts, idx, docs_k=5, answers_k=3)
+    return r.select("query_id", "answer_rank", "answer", "score", "article_id", "doc_rank")
