@@ -94,8 +94,9 @@ def text_match(queries: DataFrame, index: TextIndex, **kw) -> DataFrame:
 
 def _with_defaults(articles: DataFrame) -> DataFrame:
     """Metadata read through defaults; a present empty string stays."""
+    extra = ["bucket"] if "bucket" in articles.columns else []
     return articles.select(
-        "article_id", "content",
+        "article_id", *extra, "content",
         F.coalesce("title", F.lit("Untitled")).alias("title"),
         F.coalesce("author", F.lit("Unknown")).alias("author"),
         F.col("publish_date_raw").alias("publish_date"),
@@ -107,7 +108,20 @@ def attach_articles(hits: DataFrame, articles: DataFrame, n_hits_bound: int | No
     """Hits ⋈ articles. Hits are at most ``queries × k`` rows; broadcast
     them against the article scan when that bound is proven small."""
     small = n_hits_bound is not None and n_hits_bound <= max_broadcast_rows
-    return _with_defaults(articles).join(maybe_broadcast(hits, small), "article_id")
+    return join_hits(_with_defaults(articles), hits, small)
+
+
+def join_hits(articles: DataFrame, hits: DataFrame, small: bool) -> DataFrame:
+    """Join hit rows to articles. On a bucketed store (``bucket`` partition
+    column, see ``store.write_bucketed_store``) the join also matches the
+    bucket, so dynamic partition pruning skips every bucket without a hit."""
+    if "bucket" in articles.columns:
+        n = int(articles.schema["bucket"].metadata.get("quire.buckets", 0))
+        if n > 0:
+            hits = hits.withColumn("bucket", F.pmod(F.xxhash64("article_id"), F.lit(n)).cast("int"))
+            return articles.join(maybe_broadcast(hits, small), ["bucket", "article_id"]).drop("bucket")
+        articles = articles.drop("bucket")
+    return articles.join(maybe_broadcast(hits, small), "article_id")
 
 
 def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5,

@@ -135,3 +135,20 @@ def test_filtered_search(spark, corpus):
     allowed = {r["article_id"] for r in arts.filter(F.col("source").isin("src1", "src2")).collect()}
     rows = filtered_search(q, arts, idx, {"source": ["src1", "src2"]}, k=10).collect()
     assert rows and all(r["article_id"] in allowed for r in rows)
+
+
+def test_bucketed_store_same_results_and_pruning(spark, corpus, scratch):
+    from quire.operators import store
+    from quire.operators import answer as qa
+    arts, idx = corpus
+    q = load_queries(spark, SF_SMALL)
+    store.write_bucketed_store(arts, scratch + "/store", 16)
+    st = store.read_bucketed_store(spark, scratch + "/store")
+    a = sorted(map(tuple, search(arts, q, idx, 5).collect()))
+    b = sorted(map(tuple, search(st, q, idx, 5).collect()))
+    assert a == b
+    a = sorted(map(tuple, qa.flatten_answers(qa.answer_questions(q, arts, idx)).collect()))
+    b = sorted(map(tuple, qa.flatten_answers(qa.answer_questions(q, st, idx)).collect()))
+    assert a == b
+    plan = search(st, q.limit(1), idx, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
