@@ -75,6 +75,13 @@ def build_index(articles: DataFrame, fields: tuple[str, ...] = ("content",),
     then needs **no shuffle** (all postings of an article sit in one task), and
     only each partition's top-k per query crosses the network.
     """
+    n = partitions or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = articles.select("article_id", *fields)
+    if materialize:
+        # the one shuffle of the build moves (id, text) rows, so the
+        # CPU-heavy tokenising below runs in every task and its output is
+        # already partitioned by article_id
+        src = src.repartition(n, "article_id")
     toks = None
     for f in fields:
         t = tokens_or_empty(F.col(f))
@@ -82,7 +89,7 @@ def build_index(articles: DataFrame, fields: tuple[str, ...] = ("content",),
     # Three projections, each input referenced several times by the next one,
     # so Catalyst keeps them apart and the sort runs once per document (a
     # lambda that referenced the sort expression would re-run it per element).
-    sorted_toks = articles.select("article_id", F.sort_array(toks).alias("_s"))
+    sorted_toks = src.select("article_id", F.sort_array(toks).alias("_s"))
     with_starts = sorted_toks.select(
         "article_id", "_s", F.size("_s").cast("long").alias("dl"),
         run_starts(F.col("_s"), F.size("_s")).alias("_st"))
@@ -90,10 +97,7 @@ def build_index(articles: DataFrame, fields: tuple[str, ...] = ("content",),
         "article_id", "dl", run_lengths(F.col("_s"), F.col("_st"), F.col("dl")).alias("terms"))
     index = TextIndex(doc_terms=doc_terms, fields=tuple(fields))
     if materialize:
-        n = partitions or int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        index = TextIndex(doc_terms=cut_lineage(doc_terms.repartition(n, "article_id"),
-                                                keep_partitioning=True),
-                          fields=tuple(fields))
+        index = TextIndex(doc_terms=cut_lineage(doc_terms, keep_partitioning=True), fields=tuple(fields))
         index.term_stats_table = cut_lineage(index.term_stats)
     return index
 
