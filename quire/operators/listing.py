@@ -88,7 +88,11 @@ def source_struct(prefix: str = "") -> Column:
 def lookup(articles: DataFrame, ids: DataFrame, preview: int | None = None) -> DataFrame:
     """F1 + R3: one row per requested id; ``found`` tells a missing article
     apart from an empty one."""
-    detail = list_projection(articles, preview).withColumn("found", F.lit(True))
-    return ids.select(F.col("article_id").alias("id")).join(detail, "id", "left") \
+    from .sizing import MAX_BROADCAST_ROWS, count_upto, lookup_join
+    detail = list_projection(articles, preview).withColumn("found", F.lit(True)) \
+        .withColumnRenamed("id", "_id")
+    want = ids.select(F.col("article_id").alias("id"))
+    n = count_upto(want, MAX_BROADCAST_ROWS)
+    return lookup_join(want, detail, "id", "_id", small_is_bounded=n <= MAX_BROADCAST_ROWS) \
         .select("id", F.coalesce("found", F.lit(False)).alias("found"), "title", "content",
                 "publish_date", "author")

@@ -28,3 +28,22 @@ def is_bounded(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, proven_small: bool) -> DataFrame:
     """Broadcast hint only for a side whose size was checked."""
     return F.broadcast(df) if proven_small else df
+
+
+def lookup_join(small: DataFrame, big: DataFrame, left_on: str, right_on: str | None = None,
+                small_is_bounded: bool = True) -> DataFrame:
+    """``small LEFT JOIN big`` without shuffling ``big``.
+
+    A broadcast hint on the preserved side of an outer join is ignored by
+    Spark, so a small preserved side would force a sort-merge join that
+    shuffles the big side. Instead: semi-join ``big`` with the broadcast keys
+    of ``small`` (``big`` streams once), then left-join ``small`` to those
+    matches, which are bounded by ``small`` because the key is unique in
+    ``big`` (ids, file names). Without a proven bound: a plain join.
+    """
+    right_on = right_on or left_on
+    if not small_is_bounded:
+        return small.join(big, small[left_on] == big[right_on], "left")
+    keys = small.select(F.col(left_on).alias(right_on))
+    matched = big.join(F.broadcast(keys), right_on, "left_semi")
+    return small.join(F.broadcast(matched), small[left_on] == matched[right_on], "left")

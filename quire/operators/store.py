@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..sources.tables import conform_articles
 from .parse import error_rows
-from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
+from .sizing import MAX_BROADCAST_ROWS, count_upto, lookup_join, maybe_broadcast
 
 ACTIONS = ("insert", "update", "skip", "error")
 
@@ -159,12 +159,11 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     if compare not in ("content", "all"):
         raise ValueError("compare must be 'content' or 'all'")
     s = stored.select([F.col(c).alias(f"s_{c}") for c in stored.columns])
-    # an increment that is proven small is broadcast and the stored table
-    # streams past it (no shuffle of the store); otherwise a sort-merge join
+    # an increment that is proven small is looked up without shuffling the
+    # store (the store streams once past the broadcast file names); otherwise
+    # a sort-merge join on the key
     n = incoming_bound if incoming_bound is not None else count_upto(incoming, max_broadcast_rows)
-    small = n <= max_broadcast_rows
-    inc = maybe_broadcast(incoming, small)
-    j = s.join(inc, inc["filename"] == s["s_filename"], "right")
+    j = lookup_join(incoming, s, "filename", "s_filename", small_is_bounded=n <= max_broadcast_rows)
     differs = ~F.col("content").eqNullSafe(F.col("s_content"))
     if compare == "all":
         for c in ("title", "author", "publish_date"):
@@ -263,8 +262,10 @@ def update_metadata(articles: DataFrame, updates: DataFrame) -> tuple[DataFrame,
         F.coalesce(F.col("_u").getItem("author"), F.col("author")).alias("author"),
         F.coalesce(F.col("_u").getItem("date"), F.col("publish_date_raw")).alias("publish_date_raw"),
         merged.alias("header"))
-    report = updates.select("article_id").join(
-        articles.select("article_id", F.lit(True).alias("found")), "article_id", "left") \
+    ids = updates.select("article_id")
+    n = count_upto(ids, MAX_BROADCAST_ROWS)
+    report = lookup_join(ids, articles.select(F.col("article_id").alias("_aid"), F.lit(True).alias("found")),
+                         "article_id", "_aid", small_is_bounded=n <= MAX_BROADCAST_ROWS) \
         .select("article_id", F.coalesce("found", F.lit(False)).alias("found"))
     return conform_articles(new), report
 
