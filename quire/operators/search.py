@@ -74,12 +74,29 @@ def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = K1, b: float =
     qt, small = weighted
     avgdl = index.avgdl()
     p = index.postings
-    contrib = p.join(maybe_broadcast(qt.select("term", "query_id", "idf"), small), "term").select(
-        "query_id", "article_id",
-        (F.col("idf") * F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
-    return (contrib.groupBy("query_id", "article_id")
-            .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+
+    def partial_scores(terms: DataFrame) -> DataFrame:
+        contrib = p.join(F.broadcast(terms.select("term", "query_id", "idf")), "term").select(
+            "query_id", "article_id",
+            (F.col("idf") * F.col("tf") * (k1 + 1)
+             / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
+        return contrib.groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
+
+    if small:
+        sums = partial_scores(qt)
+    else:
+        # More query terms than one broadcast may hold: split them into
+        # bounded chunks by hash(query_id, term) — one huge query is split
+        # too — score every chunk with the same broadcast plan (each streams
+        # the postings once) and add the partial sums.
+        n_chunks = -(-qt.count() // max_broadcast_rows)
+        chunk = F.pmod(F.xxhash64("query_id", "term"), F.lit(n_chunks))
+        parts = [partial_scores(qt.filter(chunk == c)) for c in range(n_chunks)]
+        union = parts[0]
+        for part in parts[1:]:
+            union = union.unionByName(part)
+        sums = union.groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
+    return sums.select("query_id", "article_id", F.round("w", SCORE_DIGITS).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, index: TextIndex, k: int = 10, **kw) -> DataFrame:

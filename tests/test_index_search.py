@@ -152,3 +152,12 @@ def test_bucketed_store_same_results_and_pruning(spark, corpus, scratch):
     assert a == b
     plan = search(st, q.limit(1), idx, 5)._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
+
+
+def test_chunked_query_terms_same_result(spark, corpus):
+    """Query terms beyond the broadcast bound are scored in chunks."""
+    arts, idx = corpus
+    q = load_queries(spark, SF_SMALL)
+    base = sorted(map(tuple, bm25_topk(q, idx, 5).collect()))
+    chunked = sorted(map(tuple, bm25_topk(q, idx, 5, max_broadcast_rows=150).collect()))
+    assert base == chunked
