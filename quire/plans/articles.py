@@ -263,3 +263,14 @@ def delete_toxic(spark, sf_dir):
     labels = read_table(spark, sf_dir, "labels")
     deletes = labels.filter(F.col("toxic") == 1).join(ids, "doc_id").select("article_id")
     return store.delete_articles(parsed, deletes).select("article_id", "filename")
+
+
+@register("list_newest_keyset_page2", _page_sql(NEWEST, 2, 10).replace(
+    ", (select cast(count(*) as bigint) from arts) as total,\n       2 as page, 10 as \"limit\"", ""))
+def list_newest_keyset_page2(spark, sf_dir):
+    """K11 / L1 scalable form: page 2 read after the cursor of page 1's last
+    row (one bounded row to the driver), equal to the offset page."""
+    arts = _text_articles(spark, sf_dir)
+    last = listing.keyset_page(arts, None, 10).select("publish_date", "article_id").tail(1)
+    cursor = (last[0]["publish_date"], last[0]["article_id"]) if last else None
+    return listing.list_projection(listing.keyset_page(arts, cursor, 10), None)
