@@ -16,8 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from quire.operators import answer as qa  # noqa: E402
 from quire.operators import listing, store  # noqa: E402
 from quire.operators.index import build_index  # noqa: E402
@@ -102,7 +100,6 @@ def main():
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(t.values()), 3), "unit": "sec",
                       "queries": t, "throughput": throughput, "sf": float(sf) if sf else sf_dir,
                       "docs": n_docs, "queries_n": n_queries, "cpus": int(cpus), "repeat": repeat}))
-    _ = F
 
 
 if __name__ == "__main__":

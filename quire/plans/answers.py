@@ -12,7 +12,7 @@ from ..operators.parse import good_rows, parse_articles
 from ..operators.search import filtered_search, text_search
 from ..sources.tables import (archive_as_raw_files, derived_archive, load_corpus, load_queries,
                               read_table)
-from .catalog import (ARCHIVE_SQL, BENCH_CTE, DOCS_CTE, TOKEN_RX, register, sql_bm25_ctes,
+from .catalog import (ARCHIVE_SQL, BENCH_CTE, DOCS_CTE, register, sql_bm25_ctes,
                       sql_index_ctes, sql_parse_ctes, sql_split_ws, sql_strip, sql_tokens)
 
 IDX = sql_index_ctes()
@@ -275,8 +275,6 @@ def qa_reader_hook(spark, sf_dir):
     return qa.hook_answers(load_queries(spark, sf_dir), arts, idx, _first_sentence_reader, 5, 3)
 
 
-_ = (TOKEN_RX,)
-
 
 # ------------------------------------------------------------ second query table
 

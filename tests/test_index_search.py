@@ -13,9 +13,6 @@ from quire.sources.tables import load_corpus, load_queries
 
 from conftest import SF_SMALL
 
-TOKEN = re.compile(r"[^\W]+", re.UNICODE)
-
-
 def py_tokens(s):
     return [t for t in re.findall(r"[\w]+", (s or "").lower())]
 

@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB oracle on the smallest tables."""
 
 import hashlib
-import math
 
 import duckdb
 import pytest
