@@ -202,6 +202,9 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
     n_phr = count_upto(with_phr, max_broadcast_rows)
     if n_phr == 0:
         return scores
+    # both branches below read the candidates: score them once
+    from ..session import cut_lineage
+    scores = cut_lineage(scores)
     cand = scores.join(maybe_broadcast(with_phr, n_phr <= max_broadcast_rows), "query_id", "left")
     plain = cand.filter(F.col("phrases").isNull()).select("query_id", "article_id", "score")
     checked = (cand.filter(F.col("phrases").isNotNull())

@@ -252,7 +252,8 @@ def update_metadata(articles: DataFrame, updates: DataFrame) -> tuple[DataFrame,
     their columns). Returns ``(new_articles, report)``; the report has
     ``found = false`` for ids not in the store."""
     u = updates.select("article_id", F.col("updates").alias("_u"))
-    j = articles.join(u, "article_id", "left")
+    u_small = count_upto(u, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
+    j = articles.join(maybe_broadcast(u, u_small), "article_id", "left")
     merged = F.when(F.col("_u").isNull(), F.col("header")).otherwise(
         F.map_zip_with(F.coalesce("header", F.create_map().cast("map<string,string>")), F.col("_u"),
                        lambda k, v1, v2: F.coalesce(v2, v1)))
@@ -272,7 +273,9 @@ def update_metadata(articles: DataFrame, updates: DataFrame) -> tuple[DataFrame,
 
 def delete_articles(articles: DataFrame, deletes: DataFrame) -> DataFrame:
     """Everything except the deleted ids (anti join)."""
-    return articles.join(deletes.select("article_id"), "article_id", "left_anti")
+    ids = deletes.select("article_id")
+    small = count_upto(ids, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
+    return articles.join(maybe_broadcast(ids, small), "article_id", "left_anti")
 
 
 def snapshot_path(base: str, version: int) -> str:
