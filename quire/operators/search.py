@@ -207,8 +207,13 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
     scores = cut_lineage(scores)
     cand = scores.join(maybe_broadcast(with_phr, n_phr <= max_broadcast_rows), "query_id", "left")
     plain = cand.filter(F.col("phrases").isNull()).select("query_id", "article_id", "score")
-    checked = (cand.filter(F.col("phrases").isNotNull())
-               .join(articles.select("article_id", "title", "content"), "article_id")
+    # candidates of phrase queries are counted cheaply (checkpointed above);
+    # when bounded they are broadcast and the article text streams past them
+    # (with bucket pruning on a bucketed store), else a shuffle join
+    phr_cand = cand.filter(F.col("phrases").isNotNull())
+    phr_small = count_upto(phr_cand, max_broadcast_rows) <= max_broadcast_rows
+    extra = ["bucket"] if "bucket" in articles.columns else []
+    checked = (join_hits(articles.select("article_id", *extra, "title", "content"), phr_cand, phr_small)
                .filter(F.forall("phrases", lambda s: F.lower(F.coalesce("content", F.lit(""))).contains(s)
                                 | F.lower(F.coalesce("title", F.lit(""))).contains(s)))
                .select("query_id", "article_id", "score"))
