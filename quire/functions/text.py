@@ -33,12 +33,22 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same whitespace characters as one string, for
+# character-set trimming.
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(c: Column | str) -> Column:
     """``str.strip()``: remove leading and trailing Python whitespace.
 
-    Spark's ``trim`` removes only the space character.
+    Spark's one-argument ``trim`` removes only the space character; with a
+    character set it strips any of them, without a regular expression.
     """
-    return F.regexp_replace(col_(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    return F.trim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def py_split_ws(c: Column | str) -> Column:
