@@ -125,3 +125,18 @@ def test_date_layout(spark, articles, scratch):
     path = store.write_date_sorted(articles, scratch + "/bydate", partitions=4)
     df = spark.read.parquet(path)
     assert df.count() == articles.count()
+
+
+def test_dedupe_hot_key_keeps_newest(spark):
+    """A key holding most rows is reduced by aggregation, newest row wins."""
+    from quire.sources.tables import conform_articles
+    rows = [(f"id{i:04d}", "hot.txt", f"2024-01-{1 + i % 28:02d} 00:00:00") for i in range(300)]
+    rows += [("solo", "cold.txt", "2024-01-01 00:00:00")]
+    df = conform_articles(spark.createDataFrame(rows, "article_id string, filename string, last_updated string")
+                          .withColumn("last_updated", F.col("last_updated").cast("timestamp")))
+    out = {r["filename"]: r for r in store.dedupe_on_key(df).collect()}
+    assert set(out) == {"hot.txt", "cold.txt"}
+    hot = out["hot.txt"]
+    assert str(hot["last_updated"]) == "2024-01-28 00:00:00"
+    newest = sorted(r[0] for r in rows if r[2] == "2024-01-28 00:00:00")
+    assert hot["article_id"] == newest[0]
