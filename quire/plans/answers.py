@@ -94,7 +94,7 @@ select c.query_id, c.answer, round(c.confidence, 6) as confidence, c.context,
        cast(null as varchar) as error
 from comb c left join docs d on d.article_id = c.best_id
 union all
-select f.query_id, '{qa.FALLBACK_ANSWER.replace("'", "''")}', 0.0, f.context, f.source_id, f.source_title,
+select f.query_id, '{qa.FALLBACK_ANSWER.replace("'", "''")}', cast(0.0 as double), f.context, f.source_id, f.source_title,
        f.source_author, f.source_publish_date, f.n_additional, cast(null as varchar)
 from fb_q f where f.query_id not in (select query_id from answers)""")
 def qa_answers(spark, sf_dir):
@@ -104,7 +104,7 @@ def qa_answers(spark, sf_dir):
 
 @register("qa_fallback", f"""
 with {DOCS_CTE}, {BENCH_CTE}, {IDX}, {sql_bm25_ctes()}, {FALLBACK_CTES}
-select query_id, '{qa.FALLBACK_ANSWER.replace("'", "''")}' as answer, 0.0 as confidence, context,
+select query_id, '{qa.FALLBACK_ANSWER.replace("'", "''")}' as answer, cast(0.0 as double) as confidence, context,
        source_id, source_title, source_author, source_publish_date, n_additional, cast(null as varchar) as error
 from fb_q""")
 def qa_fallback(spark, sf_dir):
