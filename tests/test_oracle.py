@@ -40,6 +40,11 @@ def test_query_matches_oracle(spark, con, name):
     cols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(cols)
+    types = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+             "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+    otypes = {d[0]: str(d[1]) for d in cur.description}
+    for f in df.schema.fields:
+        assert types.get(f.dataType.simpleString(), f.dataType.simpleString()) == otypes[f.name], f.name
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(cols, orows)
 
