@@ -3,16 +3,20 @@
 Every operator takes a **table** of queries ``(query_id, query)`` and returns
 ``query_id``-keyed rows, so one scan of the index serves a whole batch.
 
-Plan shape of ``bm25_topk`` (see ``explain``):
-
-1. query terms (small, size-checked) ⋈ ``term_stats`` → ``(query_id, term, idf)``
-2. ``postings`` ⋈ broadcast(query terms with idf) — postings stream, no shuffle
-   of the big side; a hot term just means a longer scan, never one huge task
-3. partial ``sum`` per (query, article) *before* the shuffle: an article's
-   postings come from one row of ``doc_terms``, so the map-side combine is
-   complete and the shuffle carries one row per candidate pair
-4. ``row_number() <= k`` → Catalyst's ``WindowGroupLimit`` cuts every
-   partition to k rows per query before the shuffle on ``query_id``.
+Plan shape of ``bm25_topk`` on a materialised index (see ``explain``):
+
+1. query terms (size-checked) ⋈ ``term_stats`` → ``(query_id, term, idf)``;
+   corpus size and average length are scalar subqueries
+2. ``postings ⋈ broadcast(weighted query terms)`` — the postings stream, a
+   hot term just means a longer scan, never one huge task
+3. ``sum`` per (query, article) with **no exchange**: ``doc_terms`` is
+   hash-partitioned by ``article_id`` (checkpoint or bucketed table), so all
+   postings of an article are already in one task
+4. ``row_number() <= k`` → Catalyst's ``WindowGroupLimit`` keeps k rows per
+   query per partition before the only exchange (on ``query_id``).
+
+Query terms beyond the broadcast bound are scored in bounded chunks (see
+``bm25_scores``) instead of shuffling the postings by term.
 """
 
 from __future__ import annotations
