@@ -76,7 +76,7 @@ fb_q as (select q.query_id,
          from q left join fb on fb.query_id = q.query_id group by q.query_id)"""
 
 
-@register("qa_answers", READER_SQL + f""",
+_ORACLE_QA_ANSWERS = READER_SQL + f""",
 {FALLBACK_CTES},
 comb as (select a.query_id,
                 max(case when answer_rank = 1 then answer end)
@@ -96,7 +96,10 @@ from comb c left join docs d on d.article_id = c.best_id
 union all
 select f.query_id, '{qa.FALLBACK_ANSWER.replace("'", "''")}', cast(0.0 as double), f.context, f.source_id, f.source_title,
        f.source_author, f.source_publish_date, f.n_additional, cast(null as varchar)
-from fb_q f where f.query_id not in (select query_id from answers)""")
+from fb_q f where f.query_id not in (select query_id from answers)"""
+
+
+@register("qa_answers", _ORACLE_QA_ANSWERS)
 def qa_answers(spark, sf_dir):
     arts, idx = _corpus_index(spark, sf_dir)
     return qa.flatten_answers(qa.answer_questions(load_queries(spark, sf_dir), arts, idx))
@@ -302,3 +305,9 @@ def conversation_answers(spark, sf_dir):
     arts, idx = _corpus_index(spark, sf_dir)
     r = qa.reader_answers(_conv_queries(spark, sf_dir), arts, idx, docs_k=5, answers_k=3)
     return r.select("query_id", "answer_rank", "answer", "score", "article_id", "doc_rank")
+
+
+@register("conversation_qa_answers", _ORACLE_QA_ANSWERS.replace(BENCH_CTE, CONV_CTE))
+def conversation_qa_answers(spark, sf_dir):
+    arts, idx = _corpus_index(spark, sf_dir)
+    return qa.flatten_answers(qa.answer_questions(_conv_queries(spark, sf_dir), arts, idx))
