@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, neardup, packing, quality, secrets
-from quire.llm.common import documents, drop, written
+from quire.llm.common import documents, drop, importable, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    importable(spark)
     return quality.good(docs)
 
 

@@ -17,15 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.session import shared_path
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine find the package where no path is set for them."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder; the table and its path."""
+    """Write ``df`` as Parquet in the shared folder; the table and its path.
+
+    The shuffle files behind it aren't needed any more. Spark deletes them once
+    the driver's garbage collection has seen that, which is asked for here, as
+    on a large disk share they would otherwise add up over the steps.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

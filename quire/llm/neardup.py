@@ -9,9 +9,12 @@ keys of buckets.
 Documents of equal sets are one class and go on as one representative. Within
 a bucket the candidate edges form a star: the least representative against each
 other member, confirmed on full sets. Members that the star leaves outside its
-component come back: each is held against the bucket's members of every other
-component, so that no link between two members of a bucket is lost, while a
-bucket of one component (the usual case) costs one edge per member.
+component come back. A second star begins at the member that shares most of its
+shingles with others; then each member still outside is held against the
+bucket's members of other components, so that no link between two members of a
+bucket is lost. Pairs that cannot meet the threshold are never made: what two
+sets have in common is bounded by what each has in common with the star's
+centre, and beyond that by the shingles that each shares with any other set.
 
 Defined results: null and empty texts have the empty set and stay alone; texts
 of fewer than five words are one shingle; rows of one id are one document
@@ -129,28 +132,35 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(run, "rep long, set binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets meet the threshold, counted on full sets."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, both``: how many shingles the two sets have in common, counted on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            both = np.zeros(batch.num_rows, np.int64)
             a_ids = batch.column("a").to_pylist()
             for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
                 if a_ids[k] != last:
                     last, one = a_ids[k], np.frombuffer(x.as_buffer(), np.uint64)
-                two = np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep[k] = 100 * both >= percent * (len(one) + len(two) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+                both[k] = len(np.intersect1d(one, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both)], names=["a", "b", "both"])
 
-    # the sets' sizes alone rule out many pairs
-    size = F.octet_length("set_a"), F.octet_length("set_b")
-    joined = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-              .join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-              .where((100 * F.least(*size) >= percent * F.greatest(*size))))
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    joined = (pairs.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+              .join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a"))
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, both long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, n_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that meet the threshold. Pairs whose sizes alone rule that out go before any set is moved."""
+    sized = (pairs.join(n_of.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(n_of.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    return _meeting(_overlaps(sized, sets), n_of, percent)
+
+
+def _meeting(overlaps: DataFrame, n_of: DataFrame, percent: int) -> DataFrame:
+    sized = overlaps.join(n_of.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(n_of.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+    return sized.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def components(links: DataFrame, name: str = "components") -> tuple[DataFrame, str]:
@@ -173,6 +183,34 @@ def components(links: DataFrame, name: str = "components") -> tuple[DataFrame, s
             return roots, path
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, b, root, main``: the members of buckets with several components, their roots and that of the largest one."""
+    rooted = members.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count("*").alias("parts"))
+    return rooted.join(largest.where("parts > 1").drop("parts"), "key")
+
+
+def _bounds(sets: DataFrame) -> DataFrame:
+    """``rep, n, shared``: a set's size, and how many of its shingles any other of these sets has; no two of them have more in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("set")):
+                values = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], names=["rep", "shingle"])
+
+    shingles = sets.mapInArrow(run, "rep long, shingle long")
+    alone = shingles.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
+    n = (F.octet_length("set") / 8).cast("long")
+    sizes = sets.groupBy("rep").agg(F.max(n).alias("n"))
+    return sizes.join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _step(size):
+    return F.floor(F.log(size) / np.log(1.03).item())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
                     percent: int = PERCENT) -> tuple[DataFrame, list[str]]:
     """``doc_id, n_shingles, component_id, kept`` of every row; and the paths written."""
@@ -190,27 +228,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, path = written(keyed.join(stars, "key").select("key", "a", F.col("rep").alias("b")), "dedup-members")
     paths.append(path)
 
+    n_of = classes.groupBy("rep").agg(F.max("n").alias("n"))
     first, path = written(members.where("a <> b").select("a", "b").distinct(), "dedup-pairs")
     paths.append(path)
     ids = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
     sets, path = written(_sets(docs, ids, id_col, text_col).distinct(), "dedup-sets")
     paths.append(path)
-    links, path = written(_linked(first, sets, percent), "dedup-links")
+    links, path = written(_linked(first, sets, n_of, percent), "dedup-links")
     paths.append(path)
     roots, path = components(links)
     paths.append(path)
 
-    # buckets that still hold several components: members outside the largest one meet all members of other components
-    rooted = members.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed, path = written(rooted.join(largest.select("key", (-F.col("top.minus")).alias("main")), "key"), "dedup-mixed")
-    paths.append(path)
-    outside = mixed.where("root <> main").select("key", F.col("b").alias("x"), F.col("root").alias("x_root"))
-    more = (outside.join(mixed.select("key", "b", "root"), "key").where("x_root <> root")
-            .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    more, path = written(_linked(more, sets, percent), "dedup-more-links")
+    # buckets that still hold several components
+    mixed, path = written(_mixed(members.select("key", "b"), roots), "dedup-mixed")
+    paths.append(path)
+    sizes, path = written(_bounds(sets.join(mixed.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi")), "dedup-bounds")
+    paths.append(path)
+    # a second star, from the member that shares most of its shingles; what each member has in common with it is kept
+    bounded = mixed.join(sizes, F.col("b") == F.col("rep")).drop("rep")
+    hubs, path = written(bounded.groupBy("key").agg(F.max_by("b", F.struct(F.col("shared") / F.col("n"), -F.col("b"))).alias("hub")), "dedup-hubs")
+    paths.append(path)
+    second = mixed.join(hubs, "key").where("b <> hub").select(F.col("hub").alias("a"), "b").distinct()
+    common, path = written(_overlaps(second, sets), "dedup-common")
+    paths.append(path)
+    links, path = written(links.unionByName(_meeting(common, n_of, percent)), "dedup-second-links")
+    paths.append(path)
+    roots, path = components(links)
+    paths.append(path)
+    # what is left: members outside a bucket's largest component, against the members of other components whose size
+    # and shared shingles leave a link possible; the sizes are cut into steps, to join on them
+    mixed = _mixed(mixed.select("key", "b"), roots).join(sizes, F.col("b") == F.col("rep")).drop("rep").join(hubs, "key")
+    mixed = mixed.join(common.select(F.col("a").alias("hub"), "b", "both"), ["hub", "b"], "left").withColumn("both", F.coalesce("both", "n"))
+    mixed, path = written(mixed, "dedup-mixed-again")
+    paths.append(path)
+    low, high = F.col("n") * percent / 100, F.col("shared") * (100 + percent) / percent - F.col("n")
+    outside = mixed.where((F.col("root") != F.col("main")) & (high >= low)).select(
+        "key", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), F.col("both").alias("x_both"),
+        F.explode(F.sequence(_step(low), _step(high))).alias("step"))
+    # in common: at most the lesser part within the hub, and the lesser shared part outside it
+    most = F.least("both", "x_both") + F.least(F.col("shared") - F.col("both"), F.col("x_shared") - F.col("x_both"))
+    possible = (100 + percent) * most >= percent * (F.col("n") + F.col("x_n"))
+    third = (mixed.withColumn("step", _step(F.col("n"))).join(outside, ["key", "step"]).where((F.col("root") != F.col("x_root")) & possible)
+             .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    more, path = written(_linked(third, sets, n_of, percent), "dedup-third-links")
     paths.append(path)
     if more.limit(1).count():
         roots, path = components(links.unionByName(more))
