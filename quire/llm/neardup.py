@@ -37,6 +37,7 @@ from .common import drop, slices, written
 SHINGLE = 5
 BANDS, ROWS = 64, 6
 PERCENT = 75
+BROADCAST_IDS = 2_000_000  # up to so many ids (16 MB) go to all tasks, so that texts needn't be shuffled to be picked; beyond, a join
 U = np.uint64
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -128,7 +129,8 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> Da
                 raw = [values[e - s:e].tobytes() for s, e in zip(sizes, ends)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(raw, pa.binary())], names=["rep", "set"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(members, "rep", "left_semi")
+    small = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(members) if small else members, "rep", "left_semi")
     return rows.mapInArrow(run, "rep long, set binary")
 
 
@@ -231,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_of = classes.groupBy("rep").agg(F.max("n").alias("n"))
     first, path = written(members.where("a <> b").select("a", "b").distinct(), "dedup-pairs")
     paths.append(path)
-    ids = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
+    ids, path = written(first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct(), "dedup-ids")
+    paths.append(path)
     sets, path = written(_sets(docs, ids, id_col, text_col).distinct(), "dedup-sets")
     paths.append(path)
     links, path = written(_linked(first, sets, n_of, percent), "dedup-links")
@@ -259,16 +262,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # and shared shingles leave a link possible; the sizes are cut into steps, to join on them
     mixed = _mixed(mixed.select("key", "b"), roots).join(sizes, F.col("b") == F.col("rep")).drop("rep").join(hubs, "key")
     mixed = mixed.join(common.select(F.col("a").alias("hub"), "b", "both"), ["hub", "b"], "left").withColumn("both", F.coalesce("both", "n"))
-    mixed, path = written(mixed, "dedup-mixed-again")
+    mixed, path = written(mixed.drop("key").groupBy("hub", "b").agg(*[F.first(c).alias(c) for c in ("root", "n", "shared", "both")], F.max(F.col("root") != F.col("main")).alias("out")), "dedup-mixed-again")
     paths.append(path)
     low, high = F.col("n") * percent / 100, F.col("shared") * (100 + percent) / percent - F.col("n")
-    outside = mixed.where((F.col("root") != F.col("main")) & (high >= low)).select(
-        "key", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), F.col("both").alias("x_both"),
+    outside = mixed.where(F.col("out") & (high >= low)).select(
+        "hub", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), F.col("both").alias("x_both"),
         F.explode(F.sequence(_step(low), _step(high))).alias("step"))
     # in common: at most the lesser part within the hub, and the lesser shared part outside it
     most = F.least("both", "x_both") + F.least(F.col("shared") - F.col("both"), F.col("x_shared") - F.col("x_both"))
     possible = (100 + percent) * most >= percent * (F.col("n") + F.col("x_n"))
-    third = (mixed.withColumn("step", _step(F.col("n"))).join(outside, ["key", "step"]).where((F.col("root") != F.col("x_root")) & possible)
+    third = (mixed.withColumn("step", _step(F.col("n"))).join(outside, ["hub", "step"]).where((F.col("root") != F.col("x_root")) & possible)
              .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more, path = written(_linked(third, sets, n_of, percent), "dedup-third-links")
     paths.append(path)
