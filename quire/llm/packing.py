@@ -222,7 +222,8 @@ def pack(split: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups:
         counts[row["length"]] = row["count"]
     ranked = _ranked(split, "length", "turn", "part").drop("part", "turn")
 
-    plan, bins = plan_large(counts, capacity, small, groups)
+    # coarser groups round lengths up further, but leave fewer uses to round down; they can win on few documents
+    plan, bins = min((plan_large(counts, capacity, small, max(1, groups // k)) for k in (1, 2, 4)), key=lambda p: p[1])
     longer = np.zeros(capacity + 1, np.int64)  # pieces longer than this
     longer[:-1] = np.cumsum(counts[::-1])[::-1][1:]
     before = F.element_at(F.array(*[F.lit(int(x)) for x in longer]), F.col("length").cast("int") + 1)

@@ -31,7 +31,7 @@ ROUNDS = 2
 MIN_INSTANCES = 4  # distinct known instances behind a pattern
 MIN_DOCUMENTS = 3  # distinct texts behind a pattern
 MIN_PATTERN = 0.8  # share of a pattern's instances that are known
-MIN_INSTANCE = 0.9
+MIN_INSTANCE = 0.85
 MIN_LENGTH = 6  # of an identifier that no plain format knows
 
 # The plain formats. A run of digits or local characters is entered at its beginning only.

@@ -107,7 +107,7 @@ def test_packing_is_close_to_the_bound(spark):
     docs = [(k, " ".join(rng.choice(["the", "and", "of", "window"]) for _ in range(rng.randrange(1, 900))), "en", "s", 0) for k in range(400)]
     n = _check(_packed(spark, docs), docs)
     total = sum(len(brute_ids("byte_bpe_50k.json", d[1])) + 1 for d in docs)
-    assert n <= 1.02 * total / 1024 + 1
+    assert n <= 1.06 * total / 1024 + 1  # few documents: every configuration's uses are rounded down
 
 
 def test_packing_of_one_length_and_of_nothing(spark):
