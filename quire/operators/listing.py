@@ -54,7 +54,8 @@ def list_projection(articles: DataFrame, preview: int | None = 2000) -> DataFram
 def page(articles: DataFrame, page_no: int = PAGE_DEFAULT, limit: int = LIMIT_DEFAULT,
          order: list[Column] | None = None, max_limit: int | None = LIMIT_MAX) -> DataFrame:
     """L2/L3: one page plus ``total`` (A1), ``page`` and ``limit`` columns."""
-    check_page(page_no, limit, max_limit)
+    # the store-order list has no limit of its own; the bound belongs to the newest-first pages
+    check_page(page_no, limit, max_limit if order is None else None)
     total = articles.select(F.count(F.lit(1)).cast("long")).scalar()
     rows = articles.orderBy(*(order or newest_first())).offset((page_no - 1) * limit).limit(limit)
     return rows.select("*", total.alias("total"), F.lit(page_no).alias("page"), F.lit(limit).alias("limit"))

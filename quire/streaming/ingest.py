@@ -3,10 +3,10 @@
 ``readStream.format("binaryFile")`` delivers each new ``.txt`` file of the
 archive folder once (the file-source log in the checkpoint remembers paths);
 ``foreachBatch`` parses the micro-batch and upserts it into the article store
-with the same batch operators as the importer (K5). Every micro-batch writes a
-new snapshot version ``v{epoch+1}`` computed from the newest earlier version,
-so a re-run of the same epoch after a failure rewrites the same version from
-the same input (idempotent), and the snapshot being read is never overwritten.
+with the same batch operators as the importer (K5). Every micro-batch writes the
+next snapshot version after those in the store; the version of each epoch is
+recorded, so an epoch that runs again finds its own, and no snapshot is ever
+overwritten.
 
 A file *edited in place* is not delivered again by a file stream that has
 already seen its path; the batch importer remains the way to pick up edits.
@@ -14,6 +14,7 @@ already seen its path; the batch importer remains the way to pick up edits.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from datetime import datetime, timezone
 
@@ -67,26 +68,46 @@ def archive_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return df.select("path", F.substring_index("path", "/", -1).alias("filename"), "content")
 
 
-def upsert_batch(store_base: str, compare: str = "content", stats_base: str | None = None):
-    """The ``foreachBatch`` body: parse, classify against the newest snapshot
-    before this epoch, write version ``epoch + 1`` (and the batch counters)."""
+def _epoch_versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """The store versions reserved by a query's epochs; the last reservation of an epoch counts."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    rows = spark.read.schema("epoch long, version long").parquet(path).groupBy("epoch").agg(F.max("version").alias("version"))
+    return {r["epoch"]: r["version"] for r in rows.collect()}
+
+
+def upsert_batch(store_base: str, compare: str = "content", stats_base: str | None = None, query_key: str = "ingest"):
+    """The ``foreachBatch`` body: parse, classify against the newest snapshot and write the next version.
+
+    The version follows from the store, not from the epoch, so a fresh
+    checkpoint or a batch import between epochs never meets an existing one.
+    Each epoch's version is recorded first under ``query_key``: an epoch that is
+    run again and whose snapshot is whole does nothing, else it takes the next
+    free version. A snapshot is never overwritten."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         n_files = batch.select("path").count()   # file listing rows: no parse needed
         if n_files == 0:
             return
+        reserved = os.path.join(store_base, "_ingest", query_key)
+        mine = _epoch_versions(spark, reserved)
+        present = _versions(spark, store_base)
+        if mine.get(epoch_id) in present:
+            return
         run_ts = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        target = epoch_id + 1
+        target = max([*present, *mine.values(), 0]) + 1
+        spark.createDataFrame([(epoch_id, target)], "epoch long, version long").coalesce(1).write.mode("append").parquet(reserved)
         prev = latest_snapshot(spark, store_base, before=target)
         stored = spark.read.parquet(prev) if prev else spark.createDataFrame([], ARTICLES)
         incoming = parse_articles(batch, "importer", run_ts=run_ts)
         classified = store.classify_import(stored, incoming, run_ts, compare, incoming_bound=n_files)
-        snap = store.apply_import(stored, classified, changed_bound=n_files)
-        snap.write.mode("overwrite").parquet(store.snapshot_path(store_base, target))
         if stats_base:
             (store.import_stats(classified).withColumn("epoch", F.lit(epoch_id).cast("long"))
              .write.mode("overwrite").parquet(os.path.join(stats_base, f"epoch={epoch_id}")))
+        snap = store.apply_import(stored, classified, changed_bound=n_files)
+        snap.write.mode("errorifexists").parquet(store.snapshot_path(store_base, target))
 
     return run
 
@@ -98,7 +119,7 @@ def start_ingest(spark: SparkSession, folder: str, store_base: str, checkpoint:
     """Start ST1. ``available_now`` processes everything present and stops;
     otherwise the query keeps polling every ``processing_time``."""
     w = (archive_stream(spark, folder, max_files_per_trigger).writeStream
-         .foreachBatch(upsert_batch(store_base, compare, stats_base))
+         .foreachBatch(upsert_batch(store_base, compare, stats_base, hashlib.sha256(checkpoint.encode()).hexdigest()[:16]))
          .option("checkpointLocation", checkpoint))
     if available_now:
         w = w.trigger(availableNow=True)

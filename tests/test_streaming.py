@@ -41,3 +41,19 @@ def test_stream_equals_batch(spark, scratch):
     b = sorted(map(tuple, batch.select(*cols).collect()))
     assert s == b and len(s) > 150
     assert streamed.groupBy("filename").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_fresh_checkpoint_and_batch_import_keep_the_store(spark, scratch):
+    arch = derived_archive(read_table(spark, SF_SMALL, "documents")).collect()
+    folder, base = os.path.join(scratch, "archive"), os.path.join(scratch, "store")
+    write_files(arch[:40], folder)
+    start_ingest(spark, folder, base, os.path.join(scratch, "first")).awaitTermination()
+    before = {r["filename"] for r in read_store(spark, base).select("filename").collect()}
+    edited = read_store(spark, base).withColumn("title", F.lit("edited by a batch"))
+    edited.write.parquet(store.snapshot_path(base, 2))
+    write_files(arch[40:80], folder)
+    start_ingest(spark, folder, base, os.path.join(scratch, "second")).awaitTermination()
+    after = read_store(spark, base)
+    assert before < {r["filename"] for r in after.select("filename").collect()}
+    assert spark.read.parquet(store.snapshot_path(base, 2)).where("title = 'edited by a batch'").count() == len(before)
+    assert after.where("title = 'edited by a batch'").count() == len(before)
