@@ -25,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 MIN_LENGTH = 20
 MAX_TRAINING = 5_000
 THRESHOLD = 0.5
@@ -100,6 +102,8 @@ def train(labelled: DataFrame, bound: int = MAX_TRAINING) -> RandomForestClassif
     rows = labelled.select(order.alias("order"), "label", *FEATURES)
     both = [rows.where(F.col("label") == k).distinct().orderBy("order", *FEATURES).limit(bound) for k in (0.0, 1.0)]
     sample = both[0].unionByName(both[1]).coalesce(1).sortWithinPartitions("label", "order", *FEATURES)
+    # the forest reads its findings many times: once written, none of those scans the texts again
+    sample, _ = written(sample, "secret-findings")
     seen = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(seen) < 2:
         return None
