@@ -14,7 +14,8 @@ shingles with others; then each member still outside is held against the
 bucket's members of other components, so that no link between two members of a
 bucket is lost. Pairs that cannot meet the threshold are never made: what two
 sets have in common is bounded by what each has in common with the star's
-centre, and beyond that by the shingles that each shares with any other set.
+centre, and beyond that by the shingles that each shares with any other set,
+both counted in each of ``PARTS`` parts of the hash range.
 
 Defined results: null and empty texts have the empty set and stay alone; texts
 of fewer than five words are one shingle; rows of one id are one document
@@ -37,6 +38,7 @@ from .common import drop, slices, written
 SHINGLE = 5
 BANDS, ROWS = 64, 6
 PERCENT = 75
+PARTS = 32  # a power of two; what sets have in common is bounded for each part of the hash range
 BROADCAST_IDS = 2_000_000  # up to so many ids (16 MB) go to all tasks, so that texts needn't be shuffled to be picked; beyond, a join
 U = np.uint64
 
@@ -134,23 +136,34 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> Da
     return rows.mapInArrow(run, "rep long, set binary")
 
 
+def _by_part(values: np.ndarray) -> np.ndarray:
+    """How many of the hashes lie in each part of their range."""
+    return np.bincount((values.view(U) >> U(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS).astype(np.int32)
+
+
+def _lists(counts: np.ndarray) -> pa.Array:
+    """A row of counts as a list each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * PARTS, pa.int32()), pa.array(counts.ravel(), pa.int32()))
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, both``: how many shingles the two sets have in common, counted on full sets."""
+    """``a, b, both, both_parts``: how many shingles the two sets have in common, in all and by part, counted on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, None
         for batch in batches:
-            both = np.zeros(batch.num_rows, np.int64)
+            parts = np.zeros((batch.num_rows, PARTS), np.int32)
             a_ids = batch.column("a").to_pylist()
             for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
                 if a_ids[k] != last:
                     last, one = a_ids[k], np.frombuffer(x.as_buffer(), np.uint64)
-                both[k] = len(np.intersect1d(one, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both)], names=["a", "b", "both"])
+                parts[k] = _by_part(np.intersect1d(one, np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(parts.sum(axis=1, dtype=np.int64)), _lists(parts)],
+                                             names=["a", "b", "both", "both_parts"])
 
     joined = (pairs.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
               .join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a"))
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, both long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, both long, both_parts array<int>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, n_of: DataFrame, percent: int) -> DataFrame:
@@ -194,19 +207,37 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _bounds(sets: DataFrame) -> DataFrame:
-    """``rep, n, shared``: a set's size, and how many of its shingles any other of these sets has; no two of them have more in common."""
+    """``rep, n, shared, shared_parts``: a set's size, and how many of its shingles any other of these sets has, in all and
+    by part; no two of them have more in common."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("set")):
                 values = np.frombuffer(raw.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], names=["rep", "shingle"])
 
-    shingles = sets.mapInArrow(run, "rep long, shingle long")
-    alone = shingles.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
-    n = (F.octet_length("set") / 8).cast("long")
-    sizes = sets.groupBy("rep").agg(F.max(n).alias("n"))
-    return sizes.join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = np.array([_by_part(np.frombuffer(raw.as_buffer(), U)) for raw in batch.column("set")], np.int32).reshape(-1, PARTS)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(parts.sum(axis=1, dtype=np.int64)), _lists(parts)], names=["rep", "n", "parts"])
+
+    alone = (sets.mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+             .groupBy("rep", F.shiftrightunsigned("shingle", 65 - PARTS.bit_length()).cast("int").alias("part")).agg(F.count("*").cast("int").alias("alone"))
+             .groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("part", "alone"))).alias("alone")))
+    # an id with several texts: all their shingles, so that the bound holds for each
+    sizes = (sets.mapInArrow(count, "rep long, n long, parts array<int>").groupBy("rep")
+             .agg(F.max("n").alias("n"), F.array(*[F.sum(F.get("parts", F.lit(k))).cast("int") for k in range(PARTS)]).alias("parts")))
+    shared = F.transform("parts", lambda size, part: size - F.coalesce(F.try_element_at("alone", part), F.lit(0)))
+    return sizes.join(alone, "rep", "left").select("rep", "n", shared.alias("shared_parts")).select("rep", "n", _total(F.col("shared_parts")).alias("shared"), "shared_parts")
+
+
+def _total(counts):
+    return F.aggregate(counts, F.lit(0), lambda total, one: total + one).cast("long")
+
+
+def _least(one: str, other: str):
+    """The sum of the lesser counts by part."""
+    return _total(F.zip_with(one, other, lambda x, y: F.least(x, y)))
 
 
 def _step(size):
@@ -260,17 +291,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paths.append(path)
     # what is left: members outside a bucket's largest component, against the members of other components whose size
     # and shared shingles leave a link possible; the sizes are cut into steps, to join on them
-    mixed = _mixed(mixed.select("key", "b"), roots).join(sizes, F.col("b") == F.col("rep")).drop("rep").join(hubs, "key")
-    mixed = mixed.join(common.select(F.col("a").alias("hub"), "b", "both"), ["hub", "b"], "left").withColumn("both", F.coalesce("both", "n"))
-    mixed, path = written(mixed.drop("key").groupBy("hub", "b").agg(*[F.first(c).alias(c) for c in ("root", "n", "shared", "both")], F.max(F.col("root") != F.col("main")).alias("out")), "dedup-mixed-again")
+    mixed = (_mixed(mixed.select("key", "b"), roots).join(hubs, "key").groupBy("hub", "b")
+             .agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("out")).join(sizes, F.col("b") == F.col("rep")).drop("rep"))
+    mixed = mixed.join(common.withColumnRenamed("a", "hub"), ["hub", "b"], "left").withColumns(
+        {"both": F.coalesce("both", "shared"), "both_parts": F.coalesce("both_parts", "shared_parts")})
+    mixed = mixed.withColumn("rest_parts", F.zip_with("shared_parts", "both_parts", lambda all_of, both: all_of - both)).drop("shared_parts")
+    mixed, path = written(mixed, "dedup-mixed-again")
     paths.append(path)
     low, high = F.col("n") * percent / 100, F.col("shared") * (100 + percent) / percent - F.col("n")
     outside = mixed.where(F.col("out") & (high >= low)).select(
         "hub", F.col("b").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), F.col("both").alias("x_both"),
-        F.explode(F.sequence(_step(low), _step(high))).alias("step"))
-    # in common: at most the lesser part within the hub, and the lesser shared part outside it
+        F.col("both_parts").alias("x_both_parts"), F.col("rest_parts").alias("x_rest_parts"), F.explode(F.sequence(_step(low), _step(high))).alias("step"))
+    # in common: at most the lesser part within the hub, and the lesser shared part outside it; the whole sets first, then by part
     most = F.least("both", "x_both") + F.least(F.col("shared") - F.col("both"), F.col("x_shared") - F.col("x_both"))
-    possible = (100 + percent) * most >= percent * (F.col("n") + F.col("x_n"))
+    needed = percent * (F.col("n") + F.col("x_n"))
+    possible = ((100 + percent) * most >= needed) & ((100 + percent) * (_least("both_parts", "x_both_parts") + _least("rest_parts", "x_rest_parts")) >= needed)
     third = (mixed.withColumn("step", _step(F.col("n"))).join(outside, ["hub", "step"]).where((F.col("root") != F.col("x_root")) & possible)
              .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more, path = written(_linked(third, sets, n_of, percent), "dedup-third-links")
