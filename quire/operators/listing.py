@@ -39,8 +39,9 @@ def check_page(page: int, limit: int, max_limit: int | None = LIMIT_MAX) -> None
         raise ValueError(f"limit must be an integer in 1..{max_limit}")
 
 
-def list_projection(articles: DataFrame, preview: int | None = 2000) -> DataFrame:
-    """R2 (list) / R3 (detail, ``preview=None``) with R1 defaults and R4 ids."""
+def list_projection(articles: DataFrame, preview: int | None = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """R2 (list) / R3 (detail, ``preview=None``) with R1 defaults and R4 ids;
+    ``keep`` names further columns to hand on, such as a page's."""
     content = F.col("content") if preview is None else F.left(F.col("content"), F.lit(preview))
     return articles.select(
         F.col("article_id").cast("string").alias("id"),
@@ -48,6 +49,7 @@ def list_projection(articles: DataFrame, preview: int | None = 2000) -> DataFram
         content.alias("content"),
         F.col("publish_date_raw").alias("publish_date"),
         with_default("author", DEFAULT_AUTHOR).alias("author"),
+        *keep,
     )
 
 

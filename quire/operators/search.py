@@ -23,8 +23,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import py_split_ws, tokens, with_snippet
+from ..functions.text import tokens, with_snippet
+from ..schemas import ARTICLES
 from .index import TextIndex
 from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
 
@@ -166,25 +168,45 @@ def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5
 
 # ---------------------------------------------------------------- text search
 
-# Query operators of the text search syntax.
-PHRASE_PATTERN = '"([^"]*)"'
-EXCLUDE_PATTERN = "(?:^|\\s)-([^\\s\"]+)"
+# Query operators of the text search syntax: a negated phrase, a
+# phrase, an excluded word, whichever begins first.
+OPERATOR_PATTERN = '(?:^|\\s)-"[^"]*"|"[^"]*"|(?:^|\\s)-[^\\s"]+'
+# From the first to the last token character of a word.
+INNER_PATTERN = "[\\p{L}\\p{N}_].*[\\p{L}\\p{N}_]"
 
 
 def parse_text_query(queries: DataFrame) -> DataFrame:
-    """split a raw query into scoring text, phrases and excluded terms.
+    """split a raw query into scoring text, phrases, excluded terms and
+    excluded phrases.
 
-    ``"…"`` phrases must be contained (case-insensitive); ``-term`` tokens must
-    be absent. Phrase words still score; excluded words do not.
+    ``"…"`` phrases must be contained (case-insensitive); ``-term`` tokens and
+    ``-"…"`` phrases must be absent; an excluded word of several tokens
+    (``-well-read``) is one phrase; a ``-`` inside quotes is text. Phrase words
+    still score; excluded words do not.
     """
     q = F.coalesce(F.col("query"), F.lit(""))
-    return queries.select(
+
+    def bare(s: Column) -> Column:
+        return F.lower(F.regexp_replace(s, '^-|"', ""))
+
+    def nonempty(a: Column) -> Column:
+        return F.filter(a, lambda s: F.length(s) > 0)
+
+    pieces = queries.select(
+        "query_id", "query", F.regexp_replace(q, OPERATOR_PATTERN, " ").alias("_rest"),
+        F.transform(F.regexp_extract_all(q, F.lit(OPERATOR_PATTERN), 0), lambda s: F.regexp_replace(s, "^\\s", "")).alias("_pieces"))
+    parts = pieces.select(
+        "query_id", "query", "_rest",
+        nonempty(F.transform(F.filter("_pieces", lambda s: s.startswith('"')), bare)).alias("phrases"),
+        nonempty(F.transform(F.filter("_pieces", lambda s: s.startswith('-"')), bare)).alias("_negated"),
+        F.transform(F.filter("_pieces", lambda s: s.startswith("-") & ~s.startswith('-"')), bare).alias("_words"))
+    return parts.select(
         "query_id", "query",
-        F.regexp_replace(q, EXCLUDE_PATTERN, " ").alias("positive"),
-        F.filter(F.transform(F.regexp_extract_all(q, F.lit(PHRASE_PATTERN), 1), lambda s: F.lower(s)),
-                 lambda s: F.length(s) > 0).alias("phrases"),
-        F.flatten(F.transform(F.regexp_extract_all(q, F.lit(EXCLUDE_PATTERN), 1), lambda s: tokens(s)))
-        .alias("excluded"),
+        F.concat_ws(" ", "_rest", F.array_join("phrases", " ")).alias("positive"),
+        "phrases",
+        F.flatten(F.transform(F.filter("_words", lambda s: F.size(tokens(s)) == 1), lambda s: tokens(s))).alias("excluded"),
+        F.concat("_negated", F.transform(F.filter("_words", lambda s: F.size(tokens(s)) > 1),
+                                         lambda s: F.regexp_extract(s, INNER_PATTERN, 0))).alias("excluded_phrases"),
     )
 
 
@@ -202,7 +224,8 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
             .join(maybe_broadcast(excl, n_excl <= max_broadcast_rows), "term").select("query_id", "article_id")
         scores = scores.join(banned, ["query_id", "article_id"], "left_anti")
     # phrases: only candidates of queries that have phrases are checked
-    with_phr = parsed.filter(F.size("phrases") > 0).select("query_id", "phrases")
+    with_phr = parsed.filter((F.size("phrases") > 0) | (F.size("excluded_phrases") > 0)) \
+        .select("query_id", "phrases", "excluded_phrases")
     n_phr = count_upto(with_phr, max_broadcast_rows)
     if n_phr == 0:
         return scores
@@ -218,8 +241,10 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
     phr_small = count_upto(phr_cand, max_broadcast_rows) <= max_broadcast_rows
     extra = ["bucket"] if "bucket" in articles.columns else []
     checked = (join_hits(articles.select("article_id", *extra, "title", "content"), phr_cand, phr_small)
-               .filter(F.forall("phrases", lambda s: F.lower(F.coalesce("content", F.lit(""))).contains(s)
-                                | F.lower(F.coalesce("title", F.lit(""))).contains(s)))
+               .withColumn("_body", F.lower(F.coalesce("content", F.lit(""))))
+               .withColumn("_head", F.lower(F.coalesce("title", F.lit(""))))
+               .filter(F.forall("phrases", lambda s: F.col("_body").contains(s) | F.col("_head").contains(s))
+                       & ~F.exists("excluded_phrases", lambda s: F.col("_body").contains(s) | F.col("_head").contains(s)))
                .select("query_id", "article_id", "score"))
     return plain.unionByName(checked)
 
@@ -248,19 +273,21 @@ def filtered_search(queries: DataFrame, articles: DataFrame, index: TextIndex,
 
 
 def filter_condition(filters: dict | None) -> Column | None:
+    """a value that is not one of the column's type matches nothing, as no
+    stored value equals it; None matches a missing value."""
     cond = None
     for field, value in (filters or {}).items():
         values = list(value) if isinstance(value, (list, tuple, set)) else [value]
-        target = F.col(field) if field in _ARTICLE_COLUMNS else F.col("header").getItem(field)
-        c = target.isin(values)
+        known = field in _ARTICLE_COLUMNS
+        target = F.col(field) if known else F.col("header").getItem(field)
+        kind = ARTICLES[field].dataType if known else T.StringType()
+        asked = [F.lit(str(v).lower() if isinstance(v, bool) else str(v)).try_cast(kind) for v in values if v is not None]
+        c = F.coalesce(target.isin(*asked), F.lit(False)) if asked else F.lit(False)
+        if None in values:
+            c = c | target.isNull()
         cond = c if cond is None else cond & c
     return cond
 
 
 _ARTICLE_COLUMNS = {"article_id", "filename", "title", "author", "publish_date",
                     "publish_date_raw", "content", "source", "created_at", "last_updated"}
-
-
-def whitespace_terms(query: Column) -> Column:
-    """X3 on the lower-cased query (the snippet's term list)."""
-    return py_split_ws(F.lower(query))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import conform_articles
-from .parse import error_rows
+from .parse import DATE_FORMAT, error_rows
 from .sizing import MAX_BROADCAST_ROWS, count_upto, lookup_join, maybe_broadcast
 
 ACTIONS = ("insert", "update", "skip", "error")
@@ -214,10 +214,12 @@ def import_articles(spark: SparkSession, stored_path: str | None, incoming: Data
                     out_path: str, run_ts: str, compare: str = "content",
                     incoming_bound: int | None = None) -> tuple[str, DataFrame]:
     """D end to end: classify, write the new snapshot to ``out_path`` and
-    return ``(out_path, stats)``. ``stored_path`` None means an empty store."""
+    return ``(out_path, stats)``. ``stored_path`` None means an empty store.
+    Incoming rows that share a file name become one; ``key_violations(incoming)``
+    reports them."""
     from ..schemas import ARTICLES
     stored = spark.read.parquet(stored_path) if stored_path else spark.createDataFrame([], ARTICLES)
-    classified = classify_import(stored, incoming, run_ts, compare, incoming_bound=incoming_bound)
+    classified = classify_import(stored, one_per_name(incoming), run_ts, compare, incoming_bound=incoming_bound)
     from ..session import cut_lineage
     classified = cut_lineage(classified)
     apply_import(stored, classified, changed_bound=incoming_bound).write.mode("errorifexists").parquet(out_path)
@@ -231,6 +233,16 @@ def key_violations(articles: DataFrame, key: str = "filename") -> DataFrame:
     return articles.groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("n")).filter(F.col("n") > 1)
 
 
+def one_per_name(incoming: DataFrame) -> DataFrame:
+    """K7 before an upsert: one parse row per file name. Rows that parsed come
+    before error rows, then the least body hash and title decide. An
+    aggregation, as in ``dedupe_on_key``."""
+    order = F.struct(F.col("error").isNotNull(), F.sha2(F.coalesce("content", F.lit("")), 256),
+                     F.coalesce("title", F.lit("")), F.coalesce("author", F.lit("")))
+    return (incoming.groupBy("filename").agg(F.min_by(F.struct(*incoming.columns), order).alias("_row"))
+            .select("_row.*"))
+
+
 def dedupe_on_key(articles: DataFrame, key: str = "filename", newest: str = "last_updated") -> DataFrame:
     """K7: keep one row per key (the newest, ties by article id).
 
@@ -246,29 +258,53 @@ def dedupe_on_key(articles: DataFrame, key: str = "filename", newest: str = "las
 
 # ------------------------------------------------------------------ update / delete
 
-def update_metadata(articles: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+# Fixed value: the update key that sets an article's date.
+UPDATED_DATE = "publishDate"
+
+
+def merge_updates(updates: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One update map per article: of several values for a key the last by
+    ``order_col`` wins, else (and among equals) the greatest, null above all.
+    Two aggregations, so a hot id is reduced map-side key by key."""
+    order = [F.col(order_col).alias("_o")] if order_col else []
+    entries = updates.select("article_id", *order, F.explode("updates").alias("_k", "_v"))
+    last = F.max_by("_v", F.struct(*(["_o"] if order else []), F.col("_v").isNull(), "_v"))
+    return (entries.groupBy("article_id", "_k").agg(last.alias("_v"))
+            .groupBy("article_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("updates")))
+
+
+def update_metadata(articles: DataFrame, updates: DataFrame, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """K8: merge ``updates (article_id, updates MAP)`` into each article's
-    ``header`` (updated keys win; ``title``/``author``/``date`` keys also set
-    their columns). Returns ``(new_articles, report)``; the report has
-    ``found = false`` for ids not in the store."""
-    u = updates.select("article_id", F.col("updates").alias("_u"))
+    ``header`` (updated keys win, to null too; ``title``, ``author`` and
+    ``date`` / ``publishDate`` also set their columns). Several updates of one
+    id become one (``merge_updates``). Returns ``(new_articles, report)``; the
+    report has one row per id, ``found = false`` for ids not in the store."""
+    u = merge_updates(updates, order_col).withColumnRenamed("updates", "_u")
     u_small = count_upto(u, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
     j = articles.join(maybe_broadcast(u, u_small), "article_id", "left")
-    merged = F.when(F.col("_u").isNull(), F.col("header")).otherwise(
-        F.map_zip_with(F.coalesce("header", F.create_map().cast("map<string,string>")), F.col("_u"),
-                       lambda k, v1, v2: F.coalesce(v2, v1)))
-    new = j.select(
-        *[c for c in articles.columns if c not in ("header", "title", "author", "publish_date_raw")],
-        F.coalesce(F.col("_u").getItem("title"), F.col("title")).alias("title"),
-        F.coalesce(F.col("_u").getItem("author"), F.col("author")).alias("author"),
-        F.coalesce(F.col("_u").getItem("date"), F.col("publish_date_raw")).alias("publish_date_raw"),
-        merged.alias("header"))
-    ids = updates.select("article_id")
+    upd = F.col("_u")
+
+    def has(key) -> F.Column:
+        return F.coalesce(F.map_contains_key(upd, key), F.lit(False))
+
+    merged = F.when(upd.isNull(), F.col("header")).otherwise(
+        F.map_zip_with(F.coalesce("header", F.create_map().cast("map<string,string>")), upd,
+                       lambda k, v1, v2: F.when(F.map_contains_key(upd, k), v2).otherwise(v1)))
+    raw = F.when(has(UPDATED_DATE), upd.getItem(UPDATED_DATE)).when(has("date"), upd.getItem("date"))
+    dated = has(UPDATED_DATE) | has("date")
+    changed = {
+        "title": F.when(has("title"), upd.getItem("title")).otherwise(F.col("title")),
+        "author": F.when(has("author"), upd.getItem("author")).otherwise(F.col("author")),
+        "publish_date_raw": F.when(dated, raw).otherwise(F.col("publish_date_raw")),
+        "publish_date": F.when(dated, F.try_to_timestamp(raw, F.lit(DATE_FORMAT))).otherwise(F.col("publish_date")),
+        "header": merged}
+    new = j.select(*[changed[c].alias(c) if c in changed else c for c in articles.columns])
+    ids = updates.select("article_id").distinct()
     n = count_upto(ids, MAX_BROADCAST_ROWS)
     report = lookup_join(ids, articles.select(F.col("article_id").alias("_aid"), F.lit(True).alias("found")),
                          "article_id", "_aid", small_is_bounded=n <= MAX_BROADCAST_ROWS) \
         .select("article_id", F.coalesce("found", F.lit(False)).alias("found"))
-    return conform_articles(new), report
+    return new, report
 
 
 def delete_articles(articles: DataFrame, deletes: DataFrame) -> DataFrame:

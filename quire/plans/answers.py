@@ -175,8 +175,32 @@ def text_search_top10(spark, sf_dir):
     return text_search(load_queries(spark, sf_dir), arts, idx, k=10)
 
 
-EX_RX = '(?:^|\\s)-([^\\s"]+)'
-PH_RX = '"([^"]*)"'
+OP_RX = '(?:^|\\s)-"[^"]*"|"[^"]*"|(?:^|\\s)-[^\\s"]+'
+
+
+def _bare(s: str) -> str:
+    return f"lower(regexp_replace({s}, '^-|\"', '', 'g'))"
+
+
+# F4 in SQL: CTEs ``tq`` (the parts of every query in ``q``) and ``pq`` (its scoring text)
+OPERATOR_SQL = f"""
+tq0 as (select query_id, query, regexp_replace(query, '{OP_RX}', ' ', 'g') as rest,
+               list_transform(regexp_extract_all(query, '{OP_RX}'), lambda s: regexp_replace(s, '^\\s', '')) as pieces
+        from q),
+tq1 as (select query_id, query, rest,
+               list_filter(list_transform(list_filter(pieces, lambda s: starts_with(s, '"')), lambda s: {_bare('s')}),
+                           lambda s: length(s) > 0) as phrases,
+               list_filter(list_transform(list_filter(pieces, lambda s: starts_with(s, '-"')), lambda s: {_bare('s')}),
+                           lambda s: length(s) > 0) as negated,
+               list_transform(list_filter(pieces, lambda s: starts_with(s, '-') and not starts_with(s, '-"')),
+                              lambda s: {_bare('s')}) as words
+        from tq0),
+tq as (select query_id, query, rest || ' ' || coalesce(array_to_string(phrases, ' '), '') as positive, phrases,
+              flatten(list_transform(list_filter(words, lambda s: len({sql_tokens('s')}) = 1), lambda s: {sql_tokens('s')})) as excluded,
+              list_concat(negated, list_transform(list_filter(words, lambda s: len({sql_tokens('s')}) > 1),
+                          lambda s: regexp_extract(s, '[\\p{{L}}\\p{{N}}_].*[\\p{{L}}\\p{{N}}_]'))) as excluded_phrases
+       from tq1),
+pq as (select query_id, positive as query from tq)"""
 
 
 def _operator_queries(spark, sf_dir):
@@ -193,32 +217,54 @@ def _operator_queries(spark, sf_dir):
 
 OPQ_SQL = f"""q0 as (select item_id as query_id, {sql_split_ws('text')} as w from benchmark),
 q as (select query_id, '"' || w[1] || ' ' || w[2] || '" ' || array_to_string(w[3:len(w) - 1], ' ')
-             || ' -' || w[len(w)] as query from q0),
-tq as (select query_id, query, regexp_replace(query, '{EX_RX}', ' ', 'g') as positive,
-              list_filter(list_transform(regexp_extract_all(query, '{PH_RX}', 1), lambda s: lower(s)),
-                          lambda s: length(s) > 0) as phrases,
-              flatten(list_transform(regexp_extract_all(query, '{EX_RX}', 1), lambda s: {sql_tokens('s')})) as excluded
-       from q),
-pq as (select query_id, positive as query from tq)"""
+             || ' -' || w[len(w)] as query from q0)"""
 
 
-@register("text_search_operators", f"""
-with {STORE_SQL}, {OPQ_SQL}, {IDX2}, {sql_bm25_ctes('pq')},
+def _operator_search_sql(query_ctes: str) -> str:
+    return f"""
+with {STORE_SQL}, {query_ctes}, {OPERATOR_SQL}, {IDX2}, {sql_bm25_ctes('pq')},
 banned as (select distinct e.query_id, p.article_id
            from (select query_id, unnest(excluded) as term from tq) e join postings p on p.term = e.term),
 ok as (select s.query_id, s.article_id, s.score from scores s
        join tq on tq.query_id = s.query_id join arts a on a.article_id = s.article_id
        where not exists (select 1 from banned b where b.query_id = s.query_id and b.article_id = s.article_id)
          and coalesce(list_bool_and(list_transform(tq.phrases, lambda ph:
-               contains(lower(coalesce(a.content, '')), ph) or contains(lower(coalesce(a.title, '')), ph))), true)),
+               contains(lower(coalesce(a.content, '')), ph) or contains(lower(coalesce(a.title, '')), ph))), true)
+         and not coalesce(list_bool_or(list_transform(tq.excluded_phrases, lambda ph:
+               contains(lower(coalesce(a.content, '')), ph) or contains(lower(coalesce(a.title, '')), ph))), false)),
 {_topk_cte('top', 10, 'ok')}
 select query_id, article_id, score, rank, cast(count(*) over (partition by query_id) as bigint) as count
-from top""")
+from top"""
+
+
+@register("text_search_operators", _operator_search_sql(OPQ_SQL))
 def text_search_operators(spark, sf_dir):
     arts, idx = _store(spark, sf_dir)
     return text_search(_operator_queries(spark, sf_dir), arts, idx, k=10)
 
 
+NEGATED_SQL = f"""q0 as (select item_id as query_id, {sql_split_ws('text')} as w from benchmark),
+q as (select query_id, case query_id % 3
+             when 0 then array_to_string(w, ' ') || ' -"' || w[1] || ' ' || w[2] || '"'
+             when 1 then array_to_string(w, ' ') || ' -' || w[1] || '-' || w[2]
+             else w[1] || ' "' || w[2] || ' -' || w[3] || '"' end as query from q0)"""
+
+
+@register("text_search_negated", _operator_search_sql(NEGATED_SQL))
+def text_search_negated(spark, sf_dir):
+    """Benchmark texts with a negated phrase, a hyphened exclusion or, in
+    quotes, a ``-`` that excludes nothing."""
+    b = read_table(spark, sf_dir, "benchmark")
+    w = b.select(F.col("item_id").cast("long").alias("query_id"), py_split_ws(F.col("text")).alias("w"))
+    one, two, three, whole = F.get("w", 0), F.get("w", 1), F.get("w", 2), F.array_join("w", " ")
+    kind = F.col("query_id") % 3
+    q = (F.when(kind == 0, F.concat(whole, F.lit(' -"'), one, F.lit(" "), two, F.lit('"')))
+         .when(kind == 1, F.concat(whole, F.lit(" -"), one, F.lit("-"), two))
+         .otherwise(F.concat(one, F.lit(' "'), two, F.lit(" -"), three, F.lit('"'))))
+    arts, idx = _store(spark, sf_dir)
+    return text_search(w.select("query_id", q.alias("query")), arts, idx, k=10)
+
+
 @register("qa_best_document", f"""
 with {STORE_SQL}, {BENCH_CTE}, {IDX2}, {sql_bm25_ctes()}, {_topk_cte('top', 3)}
 select q.query_id,
@@ -252,6 +298,18 @@ def filtered_search_top10(spark, sf_dir):
     return filtered_search(load_queries(spark, sf_dir), arts, idx, {"source": FILTER_SOURCES}, k=10)
 
 
+@register("filtered_search_bad_value", f"""
+with {STORE_SQL}, {BENCH_CTE}, {IDX2}, {sql_bm25_ctes()},
+ok as (select s.* from scores s join arts a on a.article_id = s.article_id
+       where a.publish_date = try_cast('no date' as timestamp)),
+{_topk_cte('top', 10, 'ok')}
+select * from top""")
+def filtered_search_bad_value(spark, sf_dir):
+    """A value that is no date matches no article: an empty result."""
+    arts, idx = _store(spark, sf_dir)
+    return filtered_search(load_queries(spark, sf_dir), arts, idx, {"publish_date": "no date"}, k=10)
+
+
 def _first_sentence_reader(pdf):
     """Example batch reader for the hook: the passage's first sentence that
     contains a query word, scored by the share of query words it holds."""
@@ -272,7 +330,18 @@ def _first_sentence_reader(pdf):
     return pd.DataFrame(rows, columns=["query_id", "article_id", "doc_rank", "answer", "score", "context"])
 
 
-@register("qa_reader_hook")
+@register("qa_reader_hook", f"""
+with {DOCS_CTE}, {BENCH_CTE}, {IDX}, {sql_bm25_ctes()}, {_topk_cte('hits', 5)},
+p as (select h.query_id, h.article_id, h.rank as doc_rank, list_distinct({sql_tokens('q.query')}) as words,
+             list_transform(regexp_extract_all(coalesce(d.content, ''), '{SENT_RX}'), lambda s: {sql_strip('s')}) as sents
+      from hits h join q on q.query_id = h.query_id join docs d on d.article_id = h.article_id),
+a as (select query_id, article_id, doc_rank, words,
+             list_filter(sents, lambda s: len(list_intersect({sql_tokens('s')}, words)) > 0)[1] as answer from p),
+r as (select query_id, article_id, doc_rank, answer, answer as context,
+             round(len(list_intersect(list_distinct({sql_tokens('answer')}), words)) / cast(len(words) as double), 6) as score
+      from a where answer is not null),
+o as (select *, cast(row_number() over (partition by query_id order by score desc, doc_rank, answer) as bigint) as answer_rank from r)
+select * from o where answer_rank <= 3""")
 def qa_reader_hook(spark, sf_dir):
     arts, idx = _corpus_index(spark, sf_dir)
     return qa.hook_answers(load_queries(spark, sf_dir), arts, idx, _first_sentence_reader, 5, 3)
@@ -281,7 +350,7 @@ def qa_reader_hook(spark, sf_dir):
 
 # ------------------------------------------------------------ second query table
 
-CONV_CTE = ("q as (select cast(conv_id * 1000 + turn as bigint) as query_id, text as query "
+CONV_CTE = ("q as (select cast(conv_id as bigint) * 4294967296 + turn as query_id, text as query "
             "from conversations where role = 'user')")
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import listing, store
 from ..operators.parse import error_rows, good_rows, parse_articles
+from ..session import shared_path
+from ..sources.archive import literal_path
 from ..sources.tables import (archive_as_raw_files, derived_archive, import_scenario,
                               read_table)
+from ..streaming.ingest import read_store, upsert_batch
 from .catalog import ARCHIVE_SQL, register, sql_parse_ctes
 
 RUN_1 = "2024-01-01 00:00:00"
@@ -172,9 +175,7 @@ NEWEST = "arts.publish_date desc nulls last, arts.article_id"
 
 def _page(spark, sf_dir, order, page_no, limit, preview):
     arts = _text_articles(spark, sf_dir)
-    rows = listing.page(arts, page_no, limit, order)
-    proj = listing.list_projection(rows, preview)
-    return proj.join(rows.select(F.col("article_id").alias("id"), "total", "page", "limit"), "id")
+    return listing.list_projection(listing.page(arts, page_no, limit, order), preview, keep=("total", "page", "limit"))
 
 
 @register("list_newest_page1", _page_sql(NEWEST, 1, 10))
@@ -192,6 +193,11 @@ def list_store_order_page2(spark, sf_dir):
     return _page(spark, sf_dir, listing.store_order(), 2, 10, 2000)
 
 
+@register("list_store_order_limit100", _page_sql("arts.article_id", 1, 100, "left(content, 2000)"))
+def list_store_order_limit100(spark, sf_dir):
+    return _page(spark, sf_dir, listing.store_order(), 1, 100, 2000)
+
+
 LOOKUP_IDS_SQL = """
 ids as (select case when l.quality = 1 then a.article_id else 'missing-' || l.doc_id end as id
         from labels l join arts a on a.doc_id = l.doc_id)"""
@@ -254,6 +260,60 @@ def update_metadata_q(spark, sf_dir):
     return report.join(touched, "article_id", "left").select("article_id", "found", "header_text")
 
 
+@register("update_metadata_snapshot", f"""
+with {TEXT_ARTICLES},
+snap as (select arts.*, l.doc_id is not null as hit, l.quality, l.toxic
+         from arts left join labels l on l.doc_id = arts.doc_id)
+select article_id, filename, title, content, case when not hit then author end as author,
+       case when not hit then publish_date_raw when toxic = 1 then 'unknown' else '2020-01-01' end as publish_date_raw,
+       cast(case when not hit then publish_date when toxic = 1 then null else timestamp '2020-01-01' end as varchar) as publish_date,
+       array_to_string(list_transform(list_sort(case when not hit then pairs else
+            list_filter(pairs, lambda p: p.key not in ('author', 'publishDate', 'quality'))
+            || [{{'key': 'author', 'value': '(null)'}},
+                {{'key': 'publishDate', 'value': case when toxic = 1 then 'unknown' else '2020-01-01' end}},
+                {{'key': 'quality', 'value': 'q' || quality}}] end),
+            lambda p: p.key || '=' || p.value), chr(10)) as header_text
+from snap""")
+def update_metadata_snapshot(spark, sf_dir):
+    """The whole snapshot after two updates of every labelled article: the
+    first clears the author, the second sets the date and corrects the first."""
+    parsed, ids = _arts_with_doc(spark, sf_dir)
+    labelled = read_table(spark, sf_dir, "labels").join(ids, "doc_id")
+    no = F.lit(None).cast("string")
+    first = F.create_map(F.lit("quality"), F.lit("zz"), F.lit("author"), no)
+    second = F.create_map(F.lit("quality"), F.concat(F.lit("q"), "quality"),
+                          F.lit("publishDate"), F.when(F.col("toxic") == 1, "unknown").otherwise("2020-01-01"))
+    updates = labelled.select("article_id", F.inline(F.array(F.struct(F.lit(1).alias("nth"), first.alias("updates")),
+                                                             F.struct(F.lit(2).alias("nth"), second.alias("updates")))))
+    new, _ = store.update_metadata(parsed, updates, order_col="nth")
+    header_text = F.array_join(F.transform(F.array_sort(F.map_entries("header")), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("(null)")))), "\n")
+    return new.select("article_id", "filename", "title", "content", "author", "publish_date_raw",
+                      F.col("publish_date").cast("string").alias("publish_date"), header_text.alias("header_text"))
+
+
+@register("stream_import_snapshot", f"""
+with {IMPORT_SQL}
+select s.article_id, s.filename, s.title, s.content from stored s
+where s.filename not in (select filename from actions where action in ('insert', 'update'))
+union all
+select coalesce(s_id, article_id), filename, title, content from actions where action in ('insert', 'update')""")
+def stream_import_snapshot(spark, sf_dir):
+    """ST1: two streams with checkpoints of their own feed one store in the
+    shared folder, first the stored files of the import scenario, then the
+    incoming ones; the newest snapshot holds what the batch import gives."""
+    base = shared_path(spark, "stream-store")
+    schema = read_table(spark, sf_dir, "documents").schema
+    for nth, name in enumerate(("stored", "incoming")):
+        # a file stream takes a folder or a pattern, and the table may be one file
+        rows = spark.readStream.schema(schema).parquet(f"{literal_path(sf_dir)}/documents.parquet*")
+        upsert = upsert_batch(base, query_key=name)
+        query = (import_scenario(rows)[nth].writeStream.foreachBatch(upsert)
+                 .option("checkpointLocation", shared_path(spark, f"stream-{name}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+    return read_store(spark, base).select("article_id", "filename", "title", "content")
+
+
 @register("delete_toxic", f"""
 with {TEXT_ARTICLES}
 select article_id, filename from arts

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import ARTICLES, BARE_DOCUMENTS, RAW_FILES
+from ..schemas import BARE_DOCUMENTS, RAW_FILES
 from .tables import conform_articles
 
 # Fixed value: archive files are the names ending in ``.txt`` (case-sensitive).
 ARCHIVE_GLOB = "*.txt"
 
 
-def _fs_exists(spark: SparkSession, path: str) -> tuple[bool, int]:
-    """Existence of ``path`` and the number of ``*.txt`` entries directly in it,
-    through the Hadoop FileSystem API (works for any cluster file system)."""
+def _folder(spark: SparkSession, path: str) -> tuple[str | None, bool]:
+    """The qualified name of folder ``path`` (None: there is none) and whether
+    an archive file lies directly in it, through the Hadoop FileSystem API (any
+    cluster file system). The listing ends at the first such file."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return False, 0
-    matches = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/" + ARCHIVE_GLOB))
-    return True, 0 if matches is None else len(matches)
+        return None, False
+    root, entries = fs.makeQualified(p).toString(), fs.listStatusIterator(p)
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if entry.isFile() and name.endswith(ARCHIVE_GLOB[1:]) and name[0] not in "_.":
+            return root, True
+    return root, False
+
+
+def literal_path(path: str) -> str:
+    """``path`` with its glob characters escaped: a reader takes it as it is."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def scan_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, str | None]:
@@ -34,17 +46,19 @@ def scan_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, str | Non
     Differences to a plain folder listing: Spark skips names starting with
     ``_`` or ``.``.
     """
-    exists, n = _fs_exists(spark, folder)
-    if not exists:
-        return spark.createDataFrame([], RAW_FILES), f"Directory '{folder}' does not exist"
-    if n == 0:
-        return spark.createDataFrame([], RAW_FILES), f"No .txt files found in '{folder}'"
+    root, any_file = _folder(spark, folder)
+    if root is None:
+        return spark.createDataFrame([], RAW_FILES), f"archive folder is missing: {folder}"
+    if not any_file:
+        return spark.createDataFrame([], RAW_FILES), f"No .txt file in archive folder: {folder}"
     df = (spark.read.format("binaryFile")
+          .option("pathGlobFilter", ARCHIVE_GLOB)
           .option("recursiveFileLookup", "false")
-          .load(folder.rstrip("/") + "/" + ARCHIVE_GLOB))
+          .load(literal_path(folder)))
     # the name comes from the path: _metadata.file_name is percent-encoded
-    return df.select(F.col("path"), F.substring_index("path", "/", -1).alias("filename"),
-                     F.col("content")), None
+    name = F.substring_index("path", "/", -1)
+    return df.select("path", name.alias("filename"), "content") \
+        .where(F.col("path") == F.concat(F.lit(root.rstrip("/") + "/"), "filename")), None
 
 
 def literal_documents(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -57,7 +71,3 @@ def bare_to_articles(bare: DataFrame) -> DataFrame:
     return conform_articles(bare.select(
         F.substring(F.sha2(F.coalesce("content", F.lit("")), 256), 1, 24).alias("article_id"),
         "content"))
-
-
-def empty_articles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ARTICLES)

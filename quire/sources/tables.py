@@ -50,9 +50,11 @@ def queries_from_benchmark(benchmark: DataFrame) -> DataFrame:
 
 
 def queries_from_conversations(conversations: DataFrame) -> DataFrame:
-    """User turns as questions; the id packs conversation and turn."""
+    """User turns as questions; the id holds the conversation in its upper and
+    the turn in its lower 32 bits, so no two turns share one (a conversation id
+    beyond 31 bits is an overflow error, not a collision)."""
     return conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"),
+        (F.col("conv_id").cast("long") * F.lit(2 ** 32) + F.col("turn")).alias("query_id"),
         F.col("text").alias("query"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import store
 from ..operators.parse import parse_articles
 from ..schemas import ARTICLES
-from ..sources.archive import ARCHIVE_GLOB
+from ..sources.archive import ARCHIVE_GLOB, literal_path
 
 
 def _versions(spark: SparkSession, base: str) -> list[int]:
@@ -64,7 +64,7 @@ def archive_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
               .option("recursiveFileLookup", "false"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(folder)
+    df = reader.load(literal_path(folder))
     return df.select("path", F.substring_index("path", "/", -1).alias("filename"), "content")
 
 
@@ -101,7 +101,7 @@ def upsert_batch(store_base: str, compare: str = "content", stats_base: str | No
         spark.createDataFrame([(epoch_id, target)], "epoch long, version long").coalesce(1).write.mode("append").parquet(reserved)
         prev = latest_snapshot(spark, store_base, before=target)
         stored = spark.read.parquet(prev) if prev else spark.createDataFrame([], ARTICLES)
-        incoming = parse_articles(batch, "importer", run_ts=run_ts)
+        incoming = store.one_per_name(parse_articles(batch, "importer", run_ts=run_ts))
         classified = store.classify_import(stored, incoming, run_ts, compare, incoming_bound=n_files)
         if stats_base:
             (store.import_stats(classified).withColumn("epoch", F.lit(epoch_id).cast("long"))

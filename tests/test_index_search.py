@@ -116,7 +116,8 @@ def test_text_search_operators(spark):
         [("a", "Red fox", "the quick brown fox"), ("b", "Blue", "quick red fox jumps"),
          ("c", "Green", "slow brown dog")], "article_id string, title string, content string")
     idx = build_index(arts, fields=("title", "content"))
-    q = spark.createDataFrame([(1, '"brown fox" quick'), (2, "fox -jumps"), (3, "brown")],
+    q = spark.createDataFrame([(1, '"brown fox" quick'), (2, "fox -jumps"), (3, "brown"), (4, 'brown -"brown fox"'),
+                               (5, '"quick -brown"'), (6, "brown -brown-dog"), (7, "quick -brown-cow -red-fox")],
                               "query_id long, query string")
     got = {}
     for r in text_search(q, arts, idx, k=10).collect():
@@ -124,6 +125,10 @@ def test_text_search_operators(spark):
     assert got[1] == {"a"}
     assert got[2] == {"a"}
     assert got[3] == {"a", "c"}
+    assert got[4] == {"c"}         # a negated phrase bans its holders
+    assert 5 not in got            # a - in quotes is text, which no article has
+    assert got[6] == {"a", "c"}    # "brown-dog" as a whole is in no article
+    assert got[7] == {"a", "b"}
 
 
 def test_filtered_search(spark, corpus):
@@ -134,6 +139,14 @@ def test_filtered_search(spark, corpus):
     assert rows and all(r["article_id"] in allowed for r in rows)
 
 
+def test_filter_value_of_another_type_matches_nothing(spark, corpus):
+    arts, idx = corpus
+    q = load_queries(spark, SF_SMALL)
+    for bad in ({"publish_date": "abc"}, {"publish_date": ["abc", 5]}, {"source": True}):
+        assert filtered_search(q, arts, idx, bad, k=10).count() == 0
+    assert filtered_search(q, arts, idx, {"publish_date": None}, k=10).count() > 0
+
+
 def test_bucketed_store_same_results_and_pruning(spark, corpus, scratch):
     from quire.operators import store
     from quire.operators import answer as qa

@@ -98,3 +98,13 @@ def test_scan_archive(spark, scratch):
     df, problem = scan_archive(spark, folder)
     assert problem is None
     assert sorted(r["filename"] for r in df.collect()) == ["a_20061117_b.txt", "sp ace.txt"]
+
+
+def test_folder_with_glob_characters_and_nested_names(spark, scratch):
+    folder = os.path.join(scratch, "a[1] {x}*")
+    os.makedirs(os.path.join(folder, "d.txt"))
+    for name in ("one.txt", "two.md", "d.txt/in.txt"):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("---\nbody")
+    df, problem = scan_archive(spark, folder)
+    assert problem is None and [r["filename"] for r in df.collect()] == ["one.txt"]

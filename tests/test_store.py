@@ -140,3 +140,29 @@ def test_dedupe_hot_key_keeps_newest(spark):
     assert str(hot["last_updated"]) == "2024-01-28 00:00:00"
     newest = sorted(r[0] for r in rows if r[2] == "2024-01-28 00:00:00")
     assert hot["article_id"] == newest[0]
+
+
+def test_updates_of_one_id_merge_and_can_clear(spark):
+    arts = spark.createDataFrame(
+        [("a", "T", "A", {"title": "T", "date": "2001-01-01"}, "2001-01-01", 3), ("b", "U", "B", None, None, 4)],
+        "article_id string, title string, author string, header map<string,string>, publish_date_raw string, bucket int") \
+        .withColumn("publish_date", F.to_timestamp("publish_date_raw"))
+    updates = spark.createDataFrame(
+        [("a", {"author": None, "quality": "1"}, 1), ("a", {"quality": "2", "publishDate": "2020-01-02"}, 2), ("x", {"title": "n"}, 1),
+         ("b", {"date": "no date", "title": None}, 1)], "article_id string, updates map<string,string>, nth int")
+    new, report = store.update_metadata(arts, updates, order_col="nth")
+    got = {r["article_id"]: r for r in new.collect()}
+    assert len(got) == new.count() == 2 and new.columns == arts.columns
+    assert got["a"]["title"] == "T" and got["a"]["author"] is None and got["a"]["bucket"] == 3
+    assert got["a"]["header"] == {"title": "T", "date": "2001-01-01", "author": None, "quality": "2", "publishDate": "2020-01-02"}
+    assert got["a"]["publish_date_raw"] == "2020-01-02" and got["a"]["publish_date"].day == 2
+    assert got["b"]["title"] is None and got["b"]["publish_date_raw"] == "no date" and got["b"]["publish_date"] is None
+    assert {tuple(r) for r in report.collect()} == {("a", True), ("b", True), ("x", False)}
+
+
+def test_import_takes_one_row_per_file_name(spark, scratch):
+    raw = spark.createDataFrame([("p/x.txt", "x.txt", bytearray(b"Title: A\n---\none")), ("q/x.txt", "x.txt", bytearray(b"Title: A\n---\ntwo")),
+                                 ("p/y.txt", "y.txt", bytearray(b"---\nthree"))], "path string, filename string, content binary")
+    path, stats = store.import_articles(spark, None, parse_articles(raw, "importer"), scratch + "/v1", "2024-01-01 00:00:00")
+    assert stats.collect()[0]["processed"] == 2
+    assert sorted(r["filename"] for r in spark.read.parquet(path).collect()) == ["x.txt", "y.txt"]
