@@ -24,6 +24,8 @@ TOKEN_PATTERN = "([\\p{L}\\p{N}_]+)"
 # Fixed value: a sentence is a run without terminal punctuation or newline,
 # plus its terminator if present.
 SENTENCE_PATTERN = "[^.!?\\n]+[.!?]?"
+# What lies between two sentences.
+GAP_PATTERN = "[.!?\\n]+"
 
 # Fixed value: a file-name part that is a date (YYYYMMDD), ASCII digits.
 DATE_PART_PATTERN = "^[0-9]{8}$"
@@ -51,6 +53,11 @@ def py_strip(c: Column | str) -> Column:
     return F.trim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
+def py_lstrip(c: Column | str) -> Column:
+    """``str.lstrip()``: remove leading Python whitespace."""
+    return F.ltrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
+
+
 def py_split_ws(c: Column | str) -> Column:
     """``str.split()`` with no argument: whitespace split, no empty parts."""
     return F.filter(F.split(col_(c), f"{PY_WHITESPACE}+"), lambda t: t != F.lit(""))

@@ -30,6 +30,7 @@ class TextIndex:
     doc_terms: DataFrame
     term_stats_table: DataFrame | None = None
     fields: tuple[str, ...] = ("content",)
+    corpus_table: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -51,6 +52,8 @@ class TextIndex:
 
     @property
     def corpus(self) -> DataFrame:
+        if self.corpus_table is not None:
+            return self.corpus_table
         nonempty = F.col("dl") > 0
         return self.doc_terms.agg(
             F.count_if(nonempty).cast("long").alias("n_docs"),
@@ -99,6 +102,8 @@ def build_index(articles: DataFrame, fields: tuple[str, ...] = ("content",),
     if materialize:
         index = TextIndex(doc_terms=cut_lineage(doc_terms, keep_partitioning=True), fields=tuple(fields))
         index.term_stats_table = cut_lineage(index.term_stats)
+        # one row, so that a query batch doesn't scan the index for it
+        index.corpus_table = cut_lineage(index.corpus)
     return index
 
 
@@ -128,6 +133,7 @@ def save_index(index: TextIndex, path: str, buckets: int | None = None) -> str:
      .bucketBy(n, "article_id").option("path", dt_path).format("parquet").saveAsTable(name))
     (index.term_stats.repartitionByRange("term").sortWithinPartitions("term")
      .write.mode("overwrite").parquet(os.path.join(path, "term_stats")))
+    index.corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
     with open_text(spark, os.path.join(path, "_BUCKETS")) as f:
         f.write(str(n))
     return path
@@ -186,4 +192,4 @@ def load_index(spark: SparkSession, path: str, fields: tuple[str, ...] = ("conte
         doc_terms = spark.read.parquet(dt_path)
     return TextIndex(doc_terms=doc_terms,
                      term_stats_table=spark.read.parquet(os.path.join(path, "term_stats")),
-                     fields=fields)
+                     fields=fields, corpus_table=spark.read.parquet(os.path.join(path, "corpus")))

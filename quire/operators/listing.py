@@ -91,11 +91,14 @@ def source_struct(prefix: str = "") -> Column:
 def lookup(articles: DataFrame, ids: DataFrame, preview: int | None = None) -> DataFrame:
     """F1 + R3: one row per requested id; ``found`` tells a missing article
     apart from an empty one."""
-    from .sizing import MAX_BROADCAST_ROWS, count_upto, lookup_join
-    detail = list_projection(articles, preview).withColumn("found", F.lit(True)) \
-        .withColumnRenamed("id", "_id")
-    want = ids.select(F.col("article_id").alias("id"))
-    n = count_upto(want, MAX_BROADCAST_ROWS)
-    return lookup_join(want, detail, "id", "_id", small_is_bounded=n <= MAX_BROADCAST_ROWS) \
-        .select("id", F.coalesce("found", F.lit(False)).alias("found"), "title", "content",
-                "publish_date", "author")
+    from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
+    detail = list_projection(articles, preview)
+    want = ids.select(F.col("article_id").cast("string").alias("id"))
+    small = count_upto(want, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
+    # only ids are broadcast: the text streams past them, and the ids without
+    # an article are found from the id column alone
+    found = detail.join(maybe_broadcast(want, small), "id").withColumn("found", F.lit(True))
+    held = detail.select("id").join(maybe_broadcast(want.distinct(), small), "id", "left_semi")
+    missing = want.join(maybe_broadcast(held, small), "id", "left_anti").withColumn("found", F.lit(False))
+    return found.unionByName(missing, allowMissingColumns=True) \
+        .select("id", "found", "title", "content", "publish_date", "author")

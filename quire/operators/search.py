@@ -15,8 +15,7 @@ Plan shape of ``bm25_topk`` on a materialised index (see ``explain``):
 4. ``row_number() <= k`` → Catalyst's ``WindowGroupLimit`` keeps k rows per
    query per partition before the only exchange (on ``query_id``).
 
-Query terms beyond the broadcast bound are scored in bounded chunks (see
-``bm25_scores``) instead of shuffling the postings by term.
+Query terms beyond the broadcast bound are joined by a shuffle on ``term``.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from pyspark.sql import types as T
 from ..functions.text import tokens, with_snippet
 from ..schemas import ARTICLES
 from .index import TextIndex
+from .listing import DEFAULT_AUTHOR, DEFAULT_TITLE
 from .sizing import MAX_BROADCAST_ROWS, count_upto, maybe_broadcast
 
 # Fixed values of the ranking function (Robertson & Zaragoza 2009).
@@ -81,27 +81,13 @@ def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = K1, b: float =
     avgdl = index.avgdl()
     p = index.postings
 
-    def partial_scores(terms: DataFrame) -> DataFrame:
-        contrib = p.join(F.broadcast(terms.select("term", "query_id", "idf")), "term").select(
-            "query_id", "article_id",
-            (F.col("idf") * F.col("tf") * (k1 + 1)
-             / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
-        return contrib.groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
-
-    if small:
-        sums = partial_scores(qt)
-    else:
-        # More query terms than one broadcast may hold: split them into
-        # bounded chunks by hash(query_id, term) — one huge query is split
-        # too — score every chunk with the same broadcast plan (each streams
-        # the postings once) and add the partial sums.
-        n_chunks = -(-qt.count() // max_broadcast_rows)
-        chunk = F.pmod(F.xxhash64("query_id", "term"), F.lit(n_chunks))
-        parts = [partial_scores(qt.filter(chunk == c)) for c in range(n_chunks)]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        sums = union.groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
+    # beyond the bound the postings are shuffled by term, once for any number
+    # of query terms; adaptive execution splits the hot terms' partitions
+    sums = p.join(maybe_broadcast(qt.select("term", "query_id", "idf"), small), "term").select(
+        "query_id", "article_id",
+        (F.col("idf") * F.col("tf") * (k1 + 1)
+         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w")) \
+        .groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
     return sums.select("query_id", "article_id", F.round("w", SCORE_DIGITS).alias("score"))
 
 
@@ -120,8 +106,8 @@ def _with_defaults(articles: DataFrame) -> DataFrame:
     extra = ["bucket"] if "bucket" in articles.columns else []
     return articles.select(
         "article_id", *extra, "content",
-        F.coalesce("title", F.lit("Untitled")).alias("title"),
-        F.coalesce("author", F.lit("Unknown")).alias("author"),
+        F.coalesce("title", F.lit(DEFAULT_TITLE)).alias("title"),
+        F.coalesce("author", F.lit(DEFAULT_AUTHOR)).alias("author"),
         F.col("publish_date_raw").alias("publish_date"),
     )
 

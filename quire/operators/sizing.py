@@ -17,8 +17,11 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def count_upto(df: DataFrame, bound: int) -> int:
-    """Row count of ``df``, stopping early once it passes ``bound``."""
-    return df.limit(bound + 1).count()
+    """Row count of ``df``, or ``bound + 1`` if it has more.
+
+    Counted per partition: a ``limit`` would send its rows through one task.
+    """
+    return min(df.count(), bound + 1)
 
 
 def is_bounded(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> bool:
@@ -39,7 +42,8 @@ def lookup_join(small: DataFrame, big: DataFrame, left_on: str, right_on: str |
     shuffles the big side. Instead: semi-join ``big`` with the broadcast keys
     of ``small`` (``big`` streams once), then left-join ``small`` to those
     matches, which are bounded by ``small`` because the key is unique in
-    ``big`` (ids, file names). Without a proven bound: a plain join.
+    ``big`` (ids, file names). ``big`` must be narrow: no article text, which
+    has no bound on its bytes. Without a proven bound: a plain join.
     """
     right_on = right_on or left_on
     if not small_is_bounded:

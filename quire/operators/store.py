@@ -158,16 +158,23 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     """
     if compare not in ("content", "all"):
         raise ValueError("compare must be 'content' or 'all'")
-    s = stored.select([F.col(c).alias(f"s_{c}") for c in stored.columns])
+
+    def digest(c: str) -> F.Column:
+        return F.sha2(F.col(c).cast("binary"), 256)
+
+    # texts are compared by digest, so the looked-up rows have a fixed width
+    # and no article text is broadcast
+    texts = ["content"] if compare == "content" else ["content", "title", "author"]
+    s = stored.select(*[F.col(c).alias(f"s_{c}") for c in ("article_id", "filename", "publish_date", "created_at")],
+                      *[digest(c).alias(f"s_{c}") for c in texts])
     # an increment that is proven small is looked up without shuffling the
     # store (the store streams once past the broadcast file names); otherwise
     # a sort-merge join on the key
     n = incoming_bound if incoming_bound is not None else count_upto(incoming, max_broadcast_rows)
     j = lookup_join(incoming, s, "filename", "s_filename", small_is_bounded=n <= max_broadcast_rows)
-    differs = ~F.col("content").eqNullSafe(F.col("s_content"))
-    if compare == "all":
-        for c in ("title", "author", "publish_date"):
-            differs = differs | ~F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    differs = F.lit(False) if compare == "content" else ~F.col("publish_date").eqNullSafe(F.col("s_publish_date"))
+    for c in texts:
+        differs = differs | ~digest(c).eqNullSafe(F.col(f"s_{c}"))
     action = (F.when(F.col("error").isNotNull(), F.lit("error"))
               .when(F.col("s_filename").isNull(), F.lit("insert"))
               .when(differs, F.lit("update"))

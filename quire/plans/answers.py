@@ -34,13 +34,16 @@ def _topk_cte(name: str, k: int, scores: str = "scores") -> str:
 READER_SQL = f"""
 with {DOCS_CTE}, {BENCH_CTE}, {IDX}, {sql_bm25_ctes()}, {_topk_cte('hits', 5)},
 qv as (select query_id, sum(idf) as idf_total from qw group by query_id),
-sents0 as (select article_id, content,
-                  unnest(list_distinct(list_filter(list_transform(
-                      regexp_extract_all(coalesce(content, ''), '{SENT_RX}'), lambda s: {sql_strip('s')}),
-                      lambda s: length(s) > 0))) as answer
-           from docs where article_id in (select article_id from hits)),
-sents as (select article_id, answer, instr(content, answer) - 1 as pos,
-                 substr(content, cast(greatest(0, least(instr(content, answer) - 1 + floor(length(answer) / 2) - 250,
+cut as (select article_id, content, regexp_extract_all(coalesce(content, ''), '{SENT_RX}|[.!?\\n]+') as ps
+        from docs where article_id in (select article_id from hits)),
+pieces as (select article_id, content, unnest(ps) as piece, generate_subscripts(ps, 1) as i from cut),
+placed as (select article_id, content, piece, {sql_strip('piece')} as answer,
+                  sum(length(piece)) over (partition by article_id order by i) - length(piece) as start_at from pieces),
+sents0 as (select article_id, content, answer, min(start_at + instr(piece, answer) - 1) as pos
+           from placed where not regexp_matches(piece, '^[.!?\\n]') and length(answer) > 0
+           group by article_id, content, answer),
+sents as (select article_id, answer, pos,
+                 substr(content, cast(greatest(0, least(pos + floor(length(answer) / 2) - 250,
                                                    length(content) - 500)) + 1 as bigint), 500) as context,
                  list_distinct({sql_tokens('answer')}) as stoks
           from sents0),

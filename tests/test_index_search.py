@@ -165,7 +165,7 @@ def test_bucketed_store_same_results_and_pruning(spark, corpus, scratch):
 
 
 def test_chunked_query_terms_same_result(spark, corpus):
-    """Query terms beyond the broadcast bound are scored in chunks."""
+    """Query terms beyond the broadcast bound are joined by a shuffle."""
     arts, idx = corpus
     q = load_queries(spark, SF_SMALL)
     base = sorted(map(tuple, bm25_topk(q, idx, 5).collect()))

@@ -7,6 +7,7 @@ from quire.operators.index import build_index, load_index, save_index
 from quire.operators.parse import good_rows, parse_articles
 from quire.operators.search import bm25_topk
 from quire.schemas import ARTICLES
+from quire.session import cut_lineage
 from quire.sources.tables import (archive_as_raw_files, derived_archive, import_scenario,
                                   load_corpus, load_queries, read_table)
 
@@ -64,6 +65,33 @@ def test_lookup_and_delete_do_not_shuffle(spark):
         assert "SortMergeJoin" not in plan
 
 
+def broadcast_columns(node):
+    """The columns of every broadcast side below a physical plan node."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.executedPlan()
+    own = [node.output().mkString(",")] if node.nodeName() == "BroadcastExchange" else []
+    children = node.children()
+    return own + [c for i in range(children.size()) for c in broadcast_columns(children.apply(i))]
+
+
+def test_no_article_text_is_broadcast(spark):
+    docs = read_table(spark, SF_SMALL, "documents")
+    incoming_raw = import_scenario(docs)[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # only the hinted ones
+    try:
+        arts = cut_lineage(good_rows(parse_articles(archive_as_raw_files(derived_archive(docs)), "text")))
+        incoming = cut_lineage(parse_articles(incoming_raw, "importer"))
+        for df in (listing.lookup(arts, arts.select("article_id").limit(5)),
+                   store.classify_import(arts, incoming, "2024-01-02 00:00:00", "all", incoming_bound=200)):
+            sides = broadcast_columns(df._jdf.queryExecution().executedPlan())
+            assert sides
+            for columns in sides:
+                # digests (s_content, s_title, s_author) are of a fixed width
+                assert not {"content", "title", "header"} & {c.split("#")[0] for c in columns.split(",")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_paging_has_no_single_task_window(spark):
     docs = read_table(spark, SF_SMALL, "documents")
     arts = good_rows(parse_articles(archive_as_raw_files(derived_archive(docs)), "text"))
