@@ -155,6 +155,37 @@ def test_secrets_are_found_masked_and_false_positives_removed(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_in_common_forms_and_beyond_the_rules(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def key(n=32):
+        return "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+
+    forms = ['API_KEY={}', 'https://h.example.net/p?token={}&x=1', 'AWS_SECRET_ACCESS_KEY = "{}"', '{{"client_secret_for_the_service": "{}"}}']
+    docs, want = [], {}
+    for k in range(40):
+        want[k] = key()
+        docs.append((k, f"{prose(k, 30)} {forms[k % 4].format(want[k])} {prose(k + 100, 20)}", "en", "s", 0))
+    words_only = ["".join(rng.choice(["tamon", "selku", "verdan", "osttari", "kuri"]) for _ in range(6)) for _ in range(80)]
+    docs += [(100 + k, f"{prose(200 + k, 30)} {w} {prose(300 + k, 20)}", "en", "s", 0) for k, w in enumerate(words_only[:76])]
+    docs += [(300 + k, f"{prose(400 + k, 30)} token: {w} {prose(500 + k, 20)}", "en", "s", 0) for k, w in enumerate(words_only[76:])]  # a name, but words
+    want[600], want[601], want[602] = key(), "hunter2Xq9", "AKIA" + "Q7RW2M4KZ8T3LP6V"
+    docs += [(600, f"{prose(600, 30)} {want[600]} {prose(601, 20)}", "en", "s", 0),  # no name
+             (601, f"{prose(602, 30)} password={want[601]} {prose(603, 20)}", "en", "s", 0), (602, f"{prose(604, 30)} {want[602]}, {prose(605, 20)}", "en", "s", 0)]
+    found = secrets.scan(frame(spark, docs))
+    rows = found.collect()
+    texts = {d[0]: d[1] for d in docs}
+    assert all(texts[r["doc_id"]][r["start"]:r["end"]] == r["value"] for r in rows)
+    assert all(texts[r["doc_id"]][max(0, r["start"] - secrets.LEFT):r["start"]] == r["before"] for r in rows)
+    assert {r["doc_id"]: r["value"] for r in rows if r["is_secret"]} == want
+    assert {303, 100} <= {r["doc_id"] for r in rows}
+    assert not {"assigned", "known", "placeholder"} & set(secrets.FEATURES)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, docs), found).collect()}
+    assert all(masked[i] == texts[i].replace(want[i], secrets.MASK) if i in want else masked[i] == texts[i] for i in texts)
+
+
 def test_bigram_model_is_a_distribution(spark):
     docs = [(k, " ".join(np.random.default_rng(k).choice(list("abcdefgh"), 30)), "en", "s", 0) for k in range(40)]
     texts = kneser_ney.prepared(frame(spark, docs))
