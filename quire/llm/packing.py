@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     one length within ``part``, the task. Write the result once before use, as tasks may be dealt anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(name, "uint16").encode
+        ids_of = encoder(name, "uint16", added=True).encode
         part, turns = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for rows in slices(batch, "text"):

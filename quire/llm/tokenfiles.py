@@ -50,7 +50,7 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(name, "uint16").encode
+        ids_of = encoder(name, "uint16", added=True).encode
         part, closing = TaskContext.get().partitionId(), np.uint16(end).tobytes()
         file, size, doc_ids, coded = 0, 0, [], []
 

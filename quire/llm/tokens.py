@@ -10,6 +10,9 @@ the ids are those of the whole text.
 * Any other text is cut only where the pattern always cuts: byte level, at a
   space or newline before a character that is surely no white space; word ends,
   at ASCII white space, which is dropped. Each unit is encoded by the library.
+* With ``added``, the library's default: a text that holds the string of an
+  added token (``<|endoftext|>``) gets that token's id there. Such a text goes to
+  the library whole. Without it, those strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -46,11 +49,12 @@ _BYTES = _byte_letters()
 class Encoder:
     """``encode(text)``: the ids as native bytes of ``dtype``."""
 
-    def __init__(self, name: str, dtype: str, spaces: bool):
+    def __init__(self, name: str, dtype: str, spaces: bool, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added  # if true, their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaces, self.model, self.dtype = spaces, self.tokenizer.model, np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
@@ -62,6 +66,8 @@ class Encoder:
         self.units = Remembered(self._unit, 100_000)
 
     def encode(self, text: str) -> bytes:
+        if any(string in text for string in self.added):
+            return self._unit(text)
         if text.isascii():
             find = self.ascii
         elif not _OTHER.search(text):
@@ -82,7 +88,7 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
-def encoder(name: str, dtype: str) -> Encoder:
+def encoder(name: str, dtype: str, added: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary; ``byte_``: byte level, which keeps white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return once(("encoder", name, dtype), lambda: Encoder(name, dtype, os.path.basename(name).startswith("byte_")))
+    return once(("encoder", name, dtype, added), lambda: Encoder(name, dtype, os.path.basename(name).startswith("byte_"), added))

@@ -24,6 +24,37 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(ours.encode(text), np.uint16).tolist() == brute_ids(name, text), text
 
 
+def default_ids(name, text):
+    """The plain call, added tokens found."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids
+
+
+HOLDS = [(1, "one <|endoftext|> two", "en", "s", 0), (2, "two words", "en", "s", 0), (3, "<|startoftext|>Ça\n<|endoftext|>\n 日本 <|endoftext|>", "en", "s", 0), (4, "<|EndOfText|> <|endoftext", "en", "s", 0)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_have_their_ids(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ours, rng, plain = encoder(name, "uint16", added=True), random.Random(4), Tokenizer.from_file(public_tokenizers.path(name))
+    some = ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", " ", "\n", "ab", "É", "日", "<|", "'s"]) for _ in range(rng.randrange(9))) for _ in range(800)]
+    for text in ODD + some:
+        assert np.frombuffer(ours.encode(text), np.uint16).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_and_packing_hold_added_tokens(spark):
+    rows = sorted(tokenfiles.round_trip(frame(spark, HOLDS))[0].collect(), key=lambda r: r["start"])
+    ids = [default_ids("word_bpe_49k.json", d[1]) + [1] for d in HOLDS]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in rows] == [(len(i), zlib.crc32(np.array(i, "<u4"))) for i in ids]
+    assert [r["start"] for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    ids = [default_ids("byte_bpe_50k.json", d[1]) + [2] for d in HOLDS]
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in _packed(spark, HOLDS)) == [(d[0], len(i), zlib.crc32(np.array(i, "<u4"))) for d, i in zip(HOLDS, ids)]
+
+
 def test_remembered_stays_bounded_and_right():
     kept = Remembered(lambda k: k * 2, 10)
     assert [kept[k] for k in range(100)] == [k * 2 for k in range(100)]
