@@ -164,17 +164,20 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     """``(value, kind, confidence)`` of the identifiers found beside the seeds, the last round's patterns, and the paths written."""
     hits = (scanned.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tie", F.explode("found").alias("f"))
             .select("doc_id", "tie", "f.kind", "f.value", F.explode(F.array_distinct("f.patterns")).alias("pattern")))
-    # the graph: how often a pattern extracts a value, whatever number of texts repeat it
-    edges, path = written(hits.groupBy("pattern", "value", "kind").agg(F.min("tie").alias("tie_a"), F.max("tie").alias("tie_b")), "pii-edges")
-    paths = [path]
+    # the graph: a pattern extracts a value, whatever number of texts repeat it
+    edges, path = written(hits.select("pattern", "value", "kind").distinct(), "pii-edges")
+    # texts behind the values that a pattern extracts, distinct first, so that a common pattern is counted by all tasks
+    links, other = written(hits.select("pattern", "value", "tie").distinct(), "pii-texts")
+    paths = [path, other]
     known = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("confidence"))
     found, patterns = None, None
     for turn in range(rounds):
         totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
         voted = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(
-            F.countDistinct("value").alias("hits"), F.sum("confidence").alias("weight"),
-            F.countDistinct("tie_a").alias("texts_a"), F.countDistinct("tie_b").alias("texts_b"))
-        patterns = (voted.where((F.col("hits") >= MIN_INSTANCES) & (F.greatest("texts_a", "texts_b") >= MIN_DOCUMENTS)).join(totals, "pattern")
+            F.countDistinct("value").alias("hits"), F.sum("confidence").alias("weight")).where(F.col("hits") >= MIN_INSTANCES)
+        behind = (links.join(known.select("value", "kind"), "value").select("pattern", "kind", "tie").distinct()
+                  .groupBy("pattern", "kind").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCUMENTS))
+        patterns = (voted.join(behind.select("pattern", "kind"), ["pattern", "kind"]).join(totals, "pattern")
                     .withColumn("precision", F.col("weight") / F.greatest("n", F.col("weight"))).where(F.col("precision") >= MIN_PATTERN)
                     .select("pattern", "kind", "hits", "n", "precision"))
         extracted = edges.where("kind is null").drop("kind").join(patterns, "pattern")

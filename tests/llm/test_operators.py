@@ -140,6 +140,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.extract(frame(spark, []))[0].count() == 0
 
 
+def test_every_text_behind_a_pattern_counts(spark):
+    # the same identifiers stand together in near copies: all have the same least and greatest text
+    block = " ".join(f"reach me by phone: +1 (545) 555-{1000 + j} {prose(700 + j, 5)}" for j in range(6))
+    docs = [(k, f"{prose(k, 30)} {block}", "en", "s", 0) for k in range(5)]
+    docs += [(50, f"{prose(50, 30)} reach me by phone: 0545-555-9999 {prose(51, 20)}", "en", "s", 0)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.extract(frame(spark, docs))[0].collect()}
+    assert rows[50].startswith("phone:") and all(rows[k].count("phone:") == 6 for k in range(5))
+    few = pii.extract(frame(spark, docs[:2] + docs[-1:]))[0].collect()  # two texts are too few
+    assert {r["doc_id"]: r["spans"] for r in few}[50] == ""
+
+
 def test_secrets_are_found_masked_and_false_positives_removed(spark):
     key = "9aF3kLq0ZxT7bWn2RvYc81HdUe"
     docs = [(k, f'{prose(k, 40)} api_key = "{key}{k:04d}" {"tamonselkuverdanosttari" * 2} {prose(k + 300, 10)}', "en", "s", 0) for k in range(400, 420)]
