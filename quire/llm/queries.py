@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, decontaminate, kneser_ney, neardup, packing, pii, quality, secrets, sharding, tokenfiles
-from .common import documents, drop, written
+from . import chunking, decontaminate, divergence, kneser_ney, neardup, packing, pii, quality, secrets, sharding, tokenfiles, variants, warc
+from .common import documents, drop, importable, written
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _finished(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
@@ -74,7 +75,22 @@ def op10_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "nth", "start", "end", F.sha2("value", 256).alias("value_sha256"), "label", F.round("probability", 6).alias("probability"))
 
 
+def op11_chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, paths = variants.variants(documents(spark, sf_dir))
+    return _finished(found, "op11", paths)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, paths = divergence.audit(documents(spark, sf_dir))
+    return _finished(found, "op12", paths)
+
+
+def op13_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    read, paths = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return _finished(read, "op13", paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_kneser_ney, op2_pigeonhole, op3_virtual_slots, op4_oph_neardup, op5_linear_grouping, op6_tokenizer_fertility,
-    op7_rans_files, op8_gear_chunks, op9_bootstrapped_pii, op10_forest_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+    op7_rans_files, op8_gear_chunks, op9_bootstrapped_pii, op10_forest_secrets, op11_chunk_variants, op12_source_divergence, op13_warc_members)}
