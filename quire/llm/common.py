@@ -8,6 +8,7 @@ nothing reads it any more.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -81,18 +82,25 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return pc.fill_null(batch.column(name).cast(pa.binary()), b"").to_pylist()
 
 
+#: What Python keeps of a remembered pair beside its bytes: two object heads and the place in the table.
+_PAIR = 170
+
+
 class Remembered(dict):
-    """Values of ``make(key)`` for up to ``most`` keys. When full, the later half goes: frequent keys are met early."""
+    """Values of ``make(key)``, both byte strings or strings, for about ``most`` bytes of them. When full, the later half
+    goes: frequent keys are met early."""
 
-    def __init__(self, make: Callable, most: int = 1_000_000):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            for late in list(self)[self.most // 2:]:
+        if self.held >= self.most:
+            for late in list(self)[len(self) // 2:]:
                 del self[late]
+            self.held = sum(len(k) + len(v) for k, v in self.items()) + _PAIR * len(self)
         value = self[key] = self.make(key)
+        self.held += len(key) + len(value) + _PAIR
         return value
 
 
@@ -100,7 +108,16 @@ _KEPT: dict = {}
 
 
 def once(key: tuple, make: Callable):
-    """``make()`` once for each Python worker."""
+    """``make()`` once for each Python worker, for as long as the worker does the same work: a worker serves one
+    operator after the other, and one operator's tables must not fill the memory of the next."""
     if key not in _KEPT:
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release() -> None:
+    """Gives up what earlier operators have left in this Python worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()

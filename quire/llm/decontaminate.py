@@ -21,13 +21,14 @@ rows give a row each, equal items too; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import once, slices, texts
 
 RATE = 0.06
 LEAST = 25
@@ -171,8 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for items in blocks_of(benchmark, item_id_col, item_text_col, least, block_bytes):
         shared = spark.sparkContext.broadcast((items, rate))  # at most ``block_bytes`` of text
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(*shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = once(("items", number), lambda: Block(*shared.value))
             for batch in batches:
                 for part in slices(batch, "text"):
                     found = []
@@ -197,8 +198,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     for items in blocks_of(benchmark, item_id_col, item_text_col, least, block_bytes):
         shared = spark.sparkContext.broadcast((items, rate))  # at most ``block_bytes`` of text
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(*shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = once(("items", number), lambda: Block(*shared.value))
             for batch in batches:
                 for part in slices(batch, text_col):
                     yield part.filter(pa.array([not block.matches(normal(raw.decode())) for raw in texts(part, text_col)], pa.bool_()))

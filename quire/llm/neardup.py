@@ -6,7 +6,8 @@ the signature. Empty bins are filled by optimal densification: each draws bins
 from a fixed hash sequence until it meets a full one. Bands of bins are the
 keys of buckets.
 
-Documents of equal sets are one class and go on as one representative. Within
+Documents of equal sets are one class and go on as one representative, a number
+that follows the order of the classes' smallest ids. Within
 a bucket the candidate edges form a star: the least representative against each
 other member, confirmed on full sets. Members that the star leaves outside its
 component come back. A second star begins at the member that shares most of its
@@ -18,9 +19,10 @@ centre, and beyond that by the shingles that each shares with any other set,
 both counted in each of ``PARTS`` parts of the hash range.
 
 Defined results: null and empty texts have the empty set and stay alone; texts
-of fewer than five words are one shingle; rows of one id are one document
-(linked where any of its texts is) and each row gets its result; a null id stays
-alone; an empty table gives no rows; other columns are not read.
+of fewer than five words are one shingle; rows that share an id with different
+texts are judged by their own text, and each row gets its result; a null id
+stays alone; very long texts are hashed in pieces that end between words; ties
+go to the smaller id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,15 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import hashing
-from .common import drop, slices, written
+from .common import drop, release, slices, written
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6
 PERCENT = 75
 PARTS = 32  # a power of two; what sets have in common is bounded for each part of the hash range
-BROADCAST_IDS = 2_000_000  # up to so many ids (16 MB) go to all tasks, so that texts needn't be shuffled to be picked; beyond, a join
+BROADCAST_IDS = 500_000  # up to so many classes (16 MB) go to all tasks, so that texts needn't be shuffled to be picked; beyond, a join
 U = np.uint64
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -100,18 +103,24 @@ def band_keys(signed: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key + np.arange(bands, dtype=np.uint64)
 
 
+def digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each set, which don't depend on the order of its shingles."""
+    ends = np.cumsum(sizes)
+    sums = np.zeros((2, len(values) + 1), np.uint64)
+    np.cumsum(hashing.mix64(values), out=sums[0, 1:])
+    np.cumsum(hashing.mix64(values ^ U(0x2545F4914F6CDD1D)), out=sums[1, 1:])
+    return (sums[:, ends] - sums[:, ends - sizes]).view(np.int64)
+
+
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Set size, a 128-bit digest of the set and the band keys of every text; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 values, sizes = shingle_sets(part.column("text"))
-                ends = np.cumsum(sizes)
-                sums = np.zeros((2, len(values) + 1), np.uint64)
-                np.cumsum(hashing.mix64(values), out=sums[0, 1:])
-                np.cumsum(hashing.mix64(values ^ U(0x2545F4914F6CDD1D)), out=sums[1, 1:])
-                digest = (sums[:, ends] - sums[:, ends - sizes]).view(np.int64)
+                digest = digests(values, sizes)
                 keys = band_keys(signatures(values, sizes, bands * rows), bands, rows).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(digest[0]), pa.array(digest[1]),
@@ -121,19 +130,22 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
 
 
 def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rep, set`` (sorted hashes) of the documents in ``members``."""
+    """``rep, set`` (sorted hashes) of the classes in ``members`` (``rep, doc, set_a, set_b``), from documents of their
+    smallest id; a text of that id whose set is another class's is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 values, sizes = shingle_sets(part.column("text"))
+                digest = digests(values, sizes)
+                own = np.flatnonzero((digest[0] == part.column("set_a").to_numpy()) & (digest[1] == part.column("set_b").to_numpy()))
                 ends = np.cumsum(sizes)
-                raw = [values[e - s:e].tobytes() for s, e in zip(sizes, ends)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(raw, pa.binary())], names=["rep", "set"])
+                raw = [values[ends[k] - sizes[k]:ends[k]].tobytes() for k in own]
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(own)), pa.array(raw, pa.binary())], names=["rep", "set"])
 
     small = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(members) if small else members, "rep", "left_semi")
-    return rows.mapInArrow(run, "rep long, set binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(members) if small else members, "doc")
+    return rows.select("rep", "set_a", "set_b", "text").mapInArrow(run, "rep long, set binary")
 
 
 def _by_part(values: np.ndarray) -> np.ndarray:
@@ -224,7 +236,6 @@ def _bounds(sets: DataFrame) -> DataFrame:
     alone = (sets.mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
              .groupBy("rep", F.shiftrightunsigned("shingle", 65 - PARTS.bit_length()).cast("int").alias("part")).agg(F.count("*").cast("int").alias("alone"))
              .groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("part", "alone"))).alias("alone")))
-    # an id with several texts: all their shingles, so that the bound holds for each
     sizes = (sets.mapInArrow(count, "rep long, n long, parts array<int>").groupBy("rep")
              .agg(F.max("n").alias("n"), F.array(*[F.sum(F.get("parts", F.lit(k))).cast("int") for k in range(PARTS)]).alias("parts")))
     shared = F.transform("parts", lambda size, part: size - F.coalesce(F.try_element_at("alone", part), F.lit(0)))
@@ -244,16 +255,19 @@ def _step(size):
     return F.floor(F.log(size) / np.log(1.03).item())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
-                    percent: int = PERCENT) -> tuple[DataFrame, list[str]]:
-    """``doc_id, n_shingles, component_id, kept`` of every row; and the paths written."""
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
+            percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``doc_id, n_shingles, set_a, set_b, bands`` of every row; ``set_a, set_b, doc, component, first`` of every class: its
+    smallest id, that of its component, and whether it is the component's first class; and the paths written."""
     signed, path = written(sign(docs, id_col, text_col, bands, rows), "dedup-signed")
     paths = [path]
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    # equal sets: one class, the least id stands for it
-    classes, path = written(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "dedup-classes")
+    # equal sets: one class; its number stands for it and follows the order of the smallest ids
+    classes = linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
+    classes = classes.repartitionByRange("doc", "set_a", "set_b").sortWithinPartitions("doc", "set_a", "set_b")
+    classes, path = written(classes.withColumn("rep", F.monotonically_increasing_id()), "dedup-classes")
     paths.append(path)
-    reps = linked.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id = rep").select("rep", "bands").distinct()
+    reps = linked.join(classes.drop("n"), ["set_a", "set_b"]).where("doc_id = doc").select("rep", "bands").distinct()
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
     stars, path = written(stars, "dedup-stars")
@@ -261,12 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, path = written(keyed.join(stars, "key").select("key", "a", F.col("rep").alias("b")), "dedup-members")
     paths.append(path)
 
-    n_of = classes.groupBy("rep").agg(F.max("n").alias("n"))
+    n_of = classes.select("rep", "n")
     first, path = written(members.where("a <> b").select("a", "b").distinct(), "dedup-pairs")
     paths.append(path)
     ids, path = written(first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct(), "dedup-ids")
     paths.append(path)
-    sets, path = written(_sets(docs, ids, id_col, text_col).distinct(), "dedup-sets")
+    sets, path = written(_sets(docs, ids.join(classes.drop("n"), "rep"), id_col, text_col).distinct(), "dedup-sets")
     paths.append(path)
     links, path = written(_linked(first, sets, n_of, percent), "dedup-links")
     paths.append(path)
@@ -314,25 +328,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots, path = components(links.unionByName(more))
         paths.append(path)
 
-    grouped = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
-    grouped, path = written(grouped, "dedup-grouped")
+    rooted = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set_a", "set_b", "doc", "rep", F.coalesce("root", "rep").alias("root"))
+    first = rooted.where("rep = root").select("root", F.col("doc").alias("component"))
+    grouped, path = written(rooted.join(first, "root").select("set_a", "set_b", "doc", "component", (F.col("rep") == F.col("root")).alias("first")), "dedup-grouped")
     paths.append(path)
+    return signed, grouped, paths
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, list[str]]:
+    """``doc_id, n_shingles, component_id, kept`` of every row; and the paths written."""
+    signed, grouped, paths = classed(docs, id_col, text_col, **options)
     out = signed.join(grouped, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), paths
 
 
+def _with_digests(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns of ``docs``, and ``n_shingles, set_a, set_b`` of the text."""
+    fields = docs.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 2 << 20):
+                values, sizes = shingle_sets(part.column(text_col))
+                digest = digests(values, sizes)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes), pa.array(digest[0]), pa.array(digest[1])],
+                                                 names=[*part.schema.names, "n_shingles", "set_a", "set_b"])
+
+    return docs.mapInArrow(run, StructType([*fields, *StructType.fromDDL("n_shingles long, set_a long, set_b long").fields]))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, list[str]]:
-    """The rows of ``docs`` without those whose group has a document of smaller id; and the paths written. Of rows that
-    share an id, one stays. Rows without an id stay."""
-    found, paths = near_duplicates(docs, id_col, text_col, **options)
-    verdict, path = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "dedup-verdict")
+    """The rows of ``docs`` without those whose group has a row of smaller id, or of the same id; and the paths written.
+    Of equal rows' texts under one id, one stays; different texts under one id are judged apart. Rows without an id or
+    without shingles stay."""
+    signed, grouped, paths = classed(docs, id_col, text_col, **options)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    judged = signed.drop("bands").join(grouped, ["set_a", "set_b"], "left")
+    judged = judged.withColumn("stays", F.coalesce(alone | (F.col("first") & (F.col("doc_id") == F.col("doc"))), F.lit(False)))
+    by_id = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    verdict, verdict_path = written(by_id, "dedup-verdict")
+    shared = verdict.where("stays").select(F.col("doc_id").alias("_id"))
+    several, several_path = written(judged.where("stays").join(shared, F.col("doc_id") == F.col("_id")).select("doc_id", "set_a", "set_b").distinct(), "dedup-several")
+    drop(docs.sparkSession, *paths)
     key = F.col(id_col).cast("long")
-    gone = verdict.where("not kept").select(F.col("doc_id").alias("_id"))
-    rest = docs.join(gone, key == F.col("_id"), "left_anti")
-    again = verdict.where("kept").select(F.col("doc_id").alias("_id"))
-    if again.limit(1).count():
-        rest, more = written(rest, "dedup-rest")
-        paths.append(more)
-        rest = rest.join(again, key == F.col("_id"), "left_anti").unionByName(rest.join(again, key == F.col("_id"), "left_semi").dropDuplicates([id_col]))
-    return rest, [*paths, path]
+    rest = docs.join(verdict.select(F.col("doc_id").alias("_id")), key == F.col("_id"), "left_anti")
+    if not several.limit(1).count():
+        return rest, [verdict_path, several_path]
+    # ids of several rows: by row, under names of their own
+    columns = docs.columns
+    rows = docs.join(shared, key == F.col("_id"), "left_semi").select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(columns)])
+    rows = _with_digests(rows, f"_{columns.index(text_col)}").withColumn("doc_id", F.col(f"_{columns.index(id_col)}").cast("long"))
+    rows = rows.join(several, ["doc_id", "set_a", "set_b"], "left_semi")
+    one = rows.where("n_shingles > 0").dropDuplicates(["doc_id", "set_a", "set_b"]).unionByName(rows.where("n_shingles = 0"))
+    return rest.unionByName(one.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(columns)])), [verdict_path, several_path]

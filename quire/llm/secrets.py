@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 MIN_LENGTH = 20
 MIN_ASSIGNED = 8  # of a value assigned to a name of secrets
@@ -130,7 +130,14 @@ def train(labelled: DataFrame, bound: int = MAX_TRAINING, weak: bool = False) ->
     both = [rows.where(F.col("label") == k).distinct().orderBy("order", *FEATURES).limit(bound) for k in (0.0, 1.0)]
     sample = both[0].unionByName(both[1]).coalesce(1).sortWithinPartitions("label", "order", *FEATURES)
     # the forest reads its findings many times: once written, none of those scans the texts again
-    sample, _ = written(sample, "secret-findings")
+    sample, path = written(sample, "secret-findings")
+    try:
+        return _fitted(sample, weak)
+    finally:
+        drop(labelled.sparkSession, path)
+
+
+def _fitted(sample: DataFrame, weak: bool) -> RandomForestClassificationModel | None:
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(seen) < 2:
         return None
