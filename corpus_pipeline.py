@@ -17,6 +17,10 @@ from quire.llm import decontaminate, neardup, packing, quality, secrets
 from quire.llm.common import documents, drop, importable, written
 
 
+#: Tables that the last stage's result reads until it's written.
+_read_by_result: list[str] = []
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     importable(spark)
@@ -24,8 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
-    return neardup.one_of_each(docs)[0]
+    """One document of each group stays, that of the smallest id. Texts that share an id are judged apart."""
+    kept, paths = neardup.one_of_each(docs)
+    _read_by_result.extend(paths)
+    return kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +47,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
-    split, _ = written(packing.pieces(docs), "pieces")
-    return packing.pack(split)[0]
+    split, path = written(packing.pieces(docs), "pieces")
+    packed, paths = packing.pack(split)
+    _read_by_result.extend([path, *paths])
+    return packed
 
 
 STAGES = [
@@ -61,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs, path = written(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
-        if last:
-            drop(spark, last)
+        drop(spark, *_read_by_result, *([last] if last else []))
+        _read_by_result.clear()
         last = path
     return docs
