@@ -16,6 +16,7 @@ Layout
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,7 +117,8 @@ def _table_name(path: str) -> str:
 
 
 def save_index(index: TextIndex, path: str, buckets: int | None = None) -> str:
-    """Write the index as parquet tables under ``path`` (a shared folder).
+    """Write the index as parquet tables in a new folder under ``path`` (a shared folder) and name that folder in
+    ``path/_CURRENT`` once all is written, so that an index may be saved over the one that it was loaded from.
 
     ``doc_terms`` is written as a table **bucketed by article_id** (one file
     per bucket), so a later session that loads it keeps the co-partitioning
@@ -126,16 +128,19 @@ def save_index(index: TextIndex, path: str, buckets: int | None = None) -> str:
     """
     spark = index.doc_terms.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dt_path = os.path.join(path, "doc_terms")
+    version = f"v-{uuid.uuid4().hex[:16]}"
+    at = os.path.join(path, version)
+    dt_path = os.path.join(at, "doc_terms")
     name = _table_name(dt_path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (index.doc_terms.repartition(n, "article_id").write.mode("overwrite")
+    (index.doc_terms.repartition(n, "article_id").write.mode("errorifexists")
      .bucketBy(n, "article_id").option("path", dt_path).format("parquet").saveAsTable(name))
     (index.term_stats.repartitionByRange("term").sortWithinPartitions("term")
-     .write.mode("overwrite").parquet(os.path.join(path, "term_stats")))
-    index.corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
-    with open_text(spark, os.path.join(path, "_BUCKETS")) as f:
+     .write.mode("errorifexists").parquet(os.path.join(at, "term_stats")))
+    index.corpus.write.mode("errorifexists").parquet(os.path.join(at, "corpus"))
+    with open_text(spark, os.path.join(at, "_BUCKETS")) as f:
         f.write(str(n))
+    with open_text(spark, os.path.join(path, "_CURRENT")) as f:
+        f.write(version)
     return path
 
 
@@ -176,6 +181,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def load_index(spark: SparkSession, path: str, fields: tuple[str, ...] = ("content",)) -> TextIndex:
     """Attach a saved index; ``doc_terms`` is read as a bucketed table."""
+    if current := _read_text(spark, os.path.join(path, "_CURRENT")):
+        path = os.path.join(path, current)
     dt_path = os.path.join(path, "doc_terms")
     n = _read_text(spark, os.path.join(path, "_BUCKETS"))
     if n:
@@ -184,9 +191,9 @@ def load_index(spark: SparkSession, path: str, fields: tuple[str, ...] = ("conte
         # relies on the bucketing, and would drop it
         spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
         name = _table_name(dt_path)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} ({DOC_TERMS_DDL}) USING parquet "
-                  f"CLUSTERED BY (article_id) INTO {int(n)} BUCKETS LOCATION '{dt_path}'")
+        location = dt_path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({DOC_TERMS_DDL}) USING parquet "
+                  f"CLUSTERED BY (article_id) INTO {int(n)} BUCKETS LOCATION '{location}'")
         doc_terms = spark.table(name)
     else:
         doc_terms = spark.read.parquet(dt_path)

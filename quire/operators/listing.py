@@ -55,14 +55,19 @@ def list_projection(articles: DataFrame, preview: int | None = 2000, keep: tuple
 
 def page(articles: DataFrame, page_no: int = PAGE_DEFAULT, limit: int = LIMIT_DEFAULT,
          order: list[Column] | None = None, max_limit: int | None = LIMIT_MAX) -> DataFrame:
-    """L2/L3: one page plus ``total`` (A1), ``page`` and ``limit`` columns."""
-    # the store-order list has no limit of its own; the bound belongs to the newest-first pages
-    check_page(page_no, limit, max_limit if order is None else None)
+    """L2: one page plus ``total`` (A1), ``page`` and ``limit`` columns; newest first unless another ``order`` is given.
+    ``limit`` is 1 to ``max_limit`` in any order."""
+    check_page(page_no, limit, max_limit)
     total = articles.select(F.count(F.lit(1)).cast("long")).scalar()
     rows = articles.orderBy(*(order or newest_first())).offset((page_no - 1) * limit).limit(limit)
     return rows.select("*", total.alias("total"), F.lit(page_no).alias("page"), F.lit(limit).alias("limit"))
 
 
+def store_page(articles: DataFrame, page_no: int = PAGE_DEFAULT, limit: int = LIMIT_DEFAULT) -> DataFrame:
+    """L3: one page in store order, whose limit has no bound of its own."""
+    return page(articles, page_no, limit, store_order(), max_limit=None)
+
+
 def keyset_page(articles: DataFrame, after: tuple | None, limit: int = LIMIT_DEFAULT) -> DataFrame:
     """Scalable newest-first page: rows strictly after the cursor
     ``(publish_date, article_id)`` of the previous page's last row."""

@@ -173,29 +173,29 @@ from arts order by {order} limit {limit} offset {(page_no - 1) * limit}"""
 NEWEST = "arts.publish_date desc nulls last, arts.article_id"
 
 
-def _page(spark, sf_dir, order, page_no, limit, preview):
+def _page(spark, sf_dir, page_of, page_no, limit, preview):
     arts = _text_articles(spark, sf_dir)
-    return listing.list_projection(listing.page(arts, page_no, limit, order), preview, keep=("total", "page", "limit"))
+    return listing.list_projection(page_of(arts, page_no, limit), preview, keep=("total", "page", "limit"))
 
 
 @register("list_newest_page1", _page_sql(NEWEST, 1, 10))
 def list_newest_page1(spark, sf_dir):
-    return _page(spark, sf_dir, listing.newest_first(), 1, 10, None)
+    return _page(spark, sf_dir, listing.page, 1, 10, None)
 
 
 @register("list_newest_page3_limit50", _page_sql(NEWEST, 3, 50))
 def list_newest_page3(spark, sf_dir):
-    return _page(spark, sf_dir, listing.newest_first(), 3, 50, None)
+    return _page(spark, sf_dir, listing.page, 3, 50, None)
 
 
 @register("list_store_order_page2", _page_sql("arts.article_id", 2, 10, "left(content, 2000)"))
 def list_store_order_page2(spark, sf_dir):
-    return _page(spark, sf_dir, listing.store_order(), 2, 10, 2000)
+    return _page(spark, sf_dir, listing.store_page, 2, 10, 2000)
 
 
 @register("list_store_order_limit100", _page_sql("arts.article_id", 1, 100, "left(content, 2000)"))
 def list_store_order_limit100(spark, sf_dir):
-    return _page(spark, sf_dir, listing.store_order(), 1, 100, 2000)
+    return _page(spark, sf_dir, listing.store_page, 1, 100, 2000)
 
 
 LOOKUP_IDS_SQL = """

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import segments
 from ..operators.index import build_index
 from ..operators.search import bm25_topk, search, text_match
+from ..session import shared_path
 from ..sources.tables import load_corpus, load_queries
 from .catalog import (BENCH_CTE, DOCS_CTE, register, sql_bm25_ctes, sql_index_ctes,
                       sql_snippet)
@@ -91,3 +93,29 @@ def search_results(spark, sf_dir):
     articles = load_corpus(spark, sf_dir)
     idx = build_index(articles, materialize=True)
     return search(articles, load_queries(spark, sf_dir), idx, k=5)
+
+
+@register("bm25_saved_index_top5", _topk_sql(5))
+def bm25_saved_index_top5(spark, sf_dir):
+    """From an index on storage: blocks by term, exact pruning."""
+    index = segments.add(load_corpus(spark, sf_dir), shared_path(spark, "segments"))
+    return segments.segment_topk(load_queries(spark, sf_dir), segments.open_index(spark, index.base), k=5)
+
+
+@register("bm25_updated_index_top5", f"""
+with docs as (select cast(doc_id as varchar) as article_id, text as content, source from documents where doc_id % 7 <> 1),
+{BENCH_CTE}, {IDX}, {sql_bm25_ctes()}
+select query_id, article_id, score, rank from (
+  select query_id, article_id, score,
+         cast(row_number() over (partition by query_id order by score desc, article_id) as bigint) as rank
+  from scores) where rank <= 5""")
+def bm25_updated_index_top5(spark, sf_dir):
+    """An index that grew by imports: two thirds of the articles, a quarter of those with an earlier text; then the rest
+    and the changed ones; then some are removed."""
+    articles, base = load_corpus(spark, sf_dir), shared_path(spark, "segments")
+    n = F.col("article_id").cast("long")
+    earlier = F.when(n % 4 == 0, F.concat(F.lit("earlier "), F.reverse("content"))).otherwise(F.col("content"))
+    segments.add(articles.where(n % 3 != 0).withColumn("content", earlier), base)
+    segments.add(articles.where((n % 3 == 0) | (n % 4 == 0)), base)
+    index = segments.remove(spark, base, articles.where(n % 7 == 1).select("article_id"))
+    return segments.segment_topk(load_queries(spark, sf_dir), index, k=5)

@@ -82,6 +82,11 @@ def test_page_validation(articles):
         listing.page(articles, 0, 10)
     with pytest.raises(ValueError):
         listing.page(articles, 1, 51)
+    with pytest.raises(ValueError):
+        listing.page(articles, 1, 51, listing.newest_first())
+    with pytest.raises(ValueError):
+        listing.page(articles, 1, 9, listing.store_order(), max_limit=8)
+    assert listing.store_page(articles, 1, 51).count() == min(51, articles.count())
 
 
 def test_delete_then_lookup(spark, articles):
