@@ -155,6 +155,8 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     title-only edit is skipped); ``compare="all"`` also title, author, date.
     ``incoming_bound`` is a known upper bound of the incoming rows (e.g. the
     number of raw files, cheap to count); without it the parse is counted.
+    A stored table may bring its digests (``content_digest`` and so on) instead
+    of the texts.
     """
     if compare not in ("content", "all"):
         raise ValueError("compare must be 'content' or 'all'")
@@ -166,7 +168,7 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     # and no article text is broadcast
     texts = ["content"] if compare == "content" else ["content", "title", "author"]
     s = stored.select(*[F.col(c).alias(f"s_{c}") for c in ("article_id", "filename", "publish_date", "created_at")],
-                      *[digest(c).alias(f"s_{c}") for c in texts])
+                      *[(F.col(f"{c}_digest") if f"{c}_digest" in stored.columns else digest(c)).alias(f"s_{c}") for c in texts])
     # an increment that is proven small is looked up without shuffling the
     # store (the store streams once past the broadcast file names); otherwise
     # a sort-merge join on the key

@@ -275,8 +275,14 @@ select article_id, filename, title, content, case when not hit then author end a
             lambda p: p.key || '=' || p.value), chr(10)) as header_text
 from snap""")
 def update_metadata_snapshot(spark, sf_dir):
-    """The whole snapshot after two updates of every labelled article: the
-    first clears the author, the second sets the date and corrects the first."""
+    """The whole snapshot after two updates of every labelled article."""
+    parsed, updates = two_updates(spark, sf_dir)
+    return with_header_text(store.update_metadata(parsed, updates, order_col="nth")[0])
+
+
+def two_updates(spark, sf_dir):
+    """The archive's articles, and two updates of each labelled one: the first
+    clears the author, the second sets the date and corrects the first."""
     parsed, ids = _arts_with_doc(spark, sf_dir)
     labelled = read_table(spark, sf_dir, "labels").join(ids, "doc_id")
     no = F.lit(None).cast("string")
@@ -285,11 +291,14 @@ def update_metadata_snapshot(spark, sf_dir):
                           F.lit("publishDate"), F.when(F.col("toxic") == 1, "unknown").otherwise("2020-01-01"))
     updates = labelled.select("article_id", F.inline(F.array(F.struct(F.lit(1).alias("nth"), first.alias("updates")),
                                                              F.struct(F.lit(2).alias("nth"), second.alias("updates")))))
-    new, _ = store.update_metadata(parsed, updates, order_col="nth")
+    return parsed, updates
+
+
+def with_header_text(articles):
     header_text = F.array_join(F.transform(F.array_sort(F.map_entries("header")), lambda e: F.concat(
         e["key"], F.lit("="), F.coalesce(e["value"], F.lit("(null)")))), "\n")
-    return new.select("article_id", "filename", "title", "content", "author", "publish_date_raw",
-                      F.col("publish_date").cast("string").alias("publish_date"), header_text.alias("header_text"))
+    return articles.select("article_id", "filename", "title", "content", "author", "publish_date_raw",
+                           F.col("publish_date").cast("string").alias("publish_date"), header_text.alias("header_text"))
 
 
 @register("stream_import_snapshot", f"""
@@ -319,10 +328,15 @@ with {TEXT_ARTICLES}
 select article_id, filename from arts
 where doc_id not in (select doc_id from labels where toxic = 1)""")
 def delete_toxic(spark, sf_dir):
+    parsed, deletes = toxic_articles(spark, sf_dir)
+    return store.delete_articles(parsed, deletes).select("article_id", "filename")
+
+
+def toxic_articles(spark, sf_dir):
+    """The archive's articles, and the ids of the toxic ones."""
     parsed, ids = _arts_with_doc(spark, sf_dir)
     labels = read_table(spark, sf_dir, "labels")
-    deletes = labels.filter(F.col("toxic") == 1).join(ids, "doc_id").select("article_id")
-    return store.delete_articles(parsed, deletes).select("article_id", "filename")
+    return parsed, labels.filter(F.col("toxic") == 1).join(ids, "doc_id").select("article_id")
 
 
 @register("list_newest_keyset_page2", _page_sql(NEWEST, 2, 10).replace(

@@ -26,6 +26,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def oracle_of(name: str) -> str:
+    """The statement of a query registered earlier, for another way to the same rows."""
+    return _ORACLE[name]
+
+
 def all_queries() -> dict[str, QueryFn]:
     _load()
     return dict(_QUERIES)
@@ -38,7 +43,7 @@ def all_oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the plan modules fills the registry
-    from . import answers, articles, retrieval  # noqa: F401
+    from . import answers, articles, retrieval, stored  # noqa: F401
 
 
 # ------------------------------------------------------------ shared SQL text

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import store
+from ..operators import article_log, store
 from ..operators.parse import parse_articles
 from ..schemas import ARTICLES
 from ..sources.archive import ARCHIVE_GLOB, literal_path
@@ -112,14 +112,29 @@ def upsert_batch(store_base: str, compare: str = "content", stats_base: str | No
     return run
 
 
+def upsert_into_log(base: str, compare: str = "content", query_key: str = "ingest"):
+    """The ``foreachBatch`` body for a store kept as an ``article_log``: several streams and batch imports may feed one
+    store at a time. The epoch is committed with its rows, so an epoch that runs again changes nothing."""
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        run_ts = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        article_log.import_into(batch.sparkSession, base, parse_articles(batch, "importer", run_ts=run_ts), run_ts, compare, (query_key, epoch_id))
+
+    return run
+
+
 def start_ingest(spark: SparkSession, folder: str, store_base: str, checkpoint: str,
                  available_now: bool = True, max_files_per_trigger: int | None = None,
                  compare: str = "content", stats_base: str | None = None,
-                 processing_time: str | None = None) -> StreamingQuery:
+                 processing_time: str | None = None, into_log: bool = False) -> StreamingQuery:
     """Start ST1. ``available_now`` processes everything present and stops;
-    otherwise the query keeps polling every ``processing_time``."""
+    otherwise the query keeps polling every ``processing_time``. ``into_log``:
+    the store is an ``article_log``, which several writers may feed; snapshot
+    stores have one writer at a time."""
+    key = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    upsert = upsert_into_log(store_base, compare, key) if into_log else upsert_batch(store_base, compare, stats_base, key)
     w = (archive_stream(spark, folder, max_files_per_trigger).writeStream
-         .foreachBatch(upsert_batch(store_base, compare, stats_base, hashlib.sha256(checkpoint.encode()).hexdigest()[:16]))
+         .foreachBatch(upsert)
          .option("checkpointLocation", checkpoint))
     if available_now:
         w = w.trigger(availableNow=True)
