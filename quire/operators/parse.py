@@ -23,6 +23,7 @@ DEFAULT_AUTHOR = "Unknown"
 PROVENANCE = "archive"
 DATE_FORMAT = "yyyy-MM-dd"
 ID_HEX_CHARS = 24
+UNREADABLE = "unreadable file"
 
 
 def decode_files(raw_files: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def decode_files(raw_files: DataFrame) -> DataFrame:
         "filename",
         F.when(valid & (F.instr(as_text, "\r") > 0), F.regexp_replace(as_text, "\r\n?", "\n"))
         .when(valid, as_text).alias("text"),
-        F.when(F.col("content").isNull(), F.lit("unreadable file"))
+        F.when(F.col("content").isNull(), F.lit(UNREADABLE))
         .when(~valid, F.lit("'utf-8' codec can't decode the file")).alias("error"),
     )
 
@@ -148,6 +149,10 @@ def error_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNotNull()).select("filename", "error")
 
 
-def parse_text(df: DataFrame, text_col: str = "raw") -> DataFrame:
-    """P1/P2 on a text column already decoded (no file read)."""
-    return split_header_body(df.withColumnRenamed(text_col, "text"))
+def unread_files(listed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """P11 for a tolerant scan: ``import_errors`` rows of listed files that the
+    parse has no row of. ``listed`` is a scan's ``filename`` column, checkpointed
+    before the files are read (it reads no content); ``parsed`` a written or
+    checkpointed parse that keeps blank files."""
+    missing = listed.select("filename").join(parsed.select("filename"), "filename", "left_anti")
+    return missing.select("filename", F.lit(UNREADABLE).alias("error"))

@@ -242,6 +242,21 @@ def text_search(queries: DataFrame, articles: DataFrame, index: TextIndex, k: in
     return hits.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("long"))
 
 
+def text_search_rows(queries: DataFrame, articles: DataFrame, index: TextIndex, k: int = 10,
+                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """T3 as the production service returns it: the query, the whole article, its
+    score, and the number of returned hits."""
+    n_queries = count_upto(queries, max_broadcast_rows)
+    hits = text_search(queries, articles, index, k, max_broadcast_rows)
+    # columns of their own: a checkpointed index may share those of the articles that it was built from
+    hits = hits.select([F.col(c).alias(c) for c in hits.columns])
+    rows = join_hits(articles, hits, n_queries * k <= max_broadcast_rows)
+    # the query's text has no bound on its bytes, so no broadcast is asked for
+    rows = rows.join(queries.select("query_id", "query"), "query_id")
+    return rows.select("query_id", "query", "count", "rank", F.col("article_id").alias("id"), "filename", "title", "author",
+                       "publish_date", "content", "created_at", "last_updated", "score")
+
+
 def filtered_search(queries: DataFrame, articles: DataFrame, index: TextIndex,
                     filters: dict | None = None, k: int = 10,
                     max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import conform_articles
 from .parse import DATE_FORMAT, error_rows
@@ -100,34 +99,21 @@ def write_date_sorted(articles: DataFrame, path: str, partitions: int | None = N
 def row_index(df: DataFrame, order_cols: list[str], index_col: str = "row_index") -> DataFrame:
     """A dense 1-based index in ``order_cols`` order without a single-task window.
 
-    Range-partition + sort, count rows per partition (a tiny table with one
-    row per partition), turn counts into offsets, then number rows inside each
-    partition with ``mapInPandas`` (one running counter per task, Arrow batches).
+    Range-partition + sort, and number the rows within each partition: the
+    number of ``monotonically_increasing_id`` holds the partition and the row's
+    place there. A table with one row per partition turns into offsets.
     """
-    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols) \
-        .withColumn("_pid", F.spark_partition_id())
-    # materialise once so both passes see the same partitioning
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    # materialised once, so that both readings see the same numbers
     from ..session import cut_lineage
-    ordered = cut_lineage(ordered)
-    counts = ordered.groupBy("_pid").count().collect()  # one row per partition: bounded
-    offsets, acc = {}, 0
-    for row in sorted(counts, key=lambda r: r["_pid"]):
-        offsets[row["_pid"]] = acc
-        acc += row["count"]
-    bc = df.sparkSession.sparkContext.broadcast(offsets)
-    out_schema = T.StructType(list(ordered.schema.fields) + [T.StructField(index_col, T.LongType(), False)])
-
-    def number(batches):
-        seen = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            base = bc.value.get(int(pdf["_pid"].iloc[0]), 0)
-            pdf[index_col] = range(base + seen + 1, base + seen + 1 + len(pdf))
-            seen += len(pdf)
-            yield pdf
-
-    return ordered.mapInPandas(number, out_schema).drop("_pid")
+    ordered = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    ordered = ordered.select("*", F.shiftright("_id", 33).cast("int").alias("_pid"))
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ordered.join(F.broadcast(offsets), "_pid").withColumn(index_col, F.col("_before") + place + 1)
+            .drop("_pid", "_id", "_before"))
 
 
 def batch_report(articles: DataFrame, batch_size: int = 50) -> DataFrame:

@@ -9,10 +9,10 @@ from ..functions.text import py_split_ws
 from ..operators import answer as qa
 from ..operators.index import build_index
 from ..operators.parse import good_rows, parse_articles
-from ..operators.search import filtered_search, text_search
+from ..operators.search import filtered_search, text_search, text_search_rows
 from ..sources.tables import (archive_as_raw_files, derived_archive, load_corpus, load_queries,
                               read_table)
-from .catalog import (ARCHIVE_SQL, BENCH_CTE, DOCS_CTE, register, sql_bm25_ctes,
+from .catalog import (ARCHIVE_SQL, BENCH_CTE, DOCS_CTE, oracle_of, register, sql_bm25_ctes,
                       sql_index_ctes, sql_parse_ctes, sql_split_ws, sql_strip, sql_tokens)
 
 IDX = sql_index_ctes()
@@ -155,7 +155,8 @@ def prompts_top10(spark, sf_dir):
 
 # ------------------------------------------------------------ program C search
 
-STORE_SQL = f"""arch as ({ARCHIVE_SQL}), {sql_parse_ctes('arch', 'pa')},
+ARCH_SQL = f"arch as ({ARCHIVE_SQL}), {sql_parse_ctes('arch', 'pa')}"
+STORE_SQL = f"""{ARCH_SQL},
 arts as (select article_id, title, author, body as content,
                 try_strptime(fdate, '%Y-%m-%d') as publish_date from pa
          where not (fdate is not null and try_strptime(fdate, '%Y-%m-%d') is null)),
@@ -178,6 +179,20 @@ def text_search_top10(spark, sf_dir):
     return text_search(load_queries(spark, sf_dir), arts, idx, k=10)
 
 
+@register("text_search_results", f"""
+with {ARCH_SQL}, arts as (select filename, article_id, title, author, body as content, try_strptime(fdate, '%Y-%m-%d') as publish_date from pa
+         where not (fdate is not null and try_strptime(fdate, '%Y-%m-%d') is null)),
+docs2 as (select * from arts), {BENCH_CTE}, {IDX2}, {sql_bm25_ctes()}, {_topk_cte('top', 10)}
+select t.query_id, q.query, cast(count(*) over (partition by t.query_id) as bigint) as count, t.rank, t.article_id as id, a.filename, a.title,
+       a.author, cast(a.publish_date as varchar) as publish_date, a.content, t.score
+from top t join q on q.query_id = t.query_id join arts a on a.article_id = t.article_id""")
+def text_search_results(spark, sf_dir):
+    """T3 as the service returns it, whole articles and their queries."""
+    arts, idx = _store(spark, sf_dir)
+    rows = text_search_rows(load_queries(spark, sf_dir), arts, idx, k=10)
+    return rows.drop("created_at", "last_updated").withColumn("publish_date", F.col("publish_date").cast("string"))
+
+
 OP_RX = '(?:^|\\s)-"[^"]*"|"[^"]*"|(?:^|\\s)-[^\\s"]+'
 
 
@@ -280,7 +295,10 @@ from q left join top t on t.query_id = q.query_id and t.rank = 1
 left join arts a on a.article_id = t.article_id""")
 def qa_best_document(spark, sf_dir):
     arts, idx = _store(spark, sf_dir)
-    r = qa.best_document_answers(load_queries(spark, sf_dir), arts, idx, k=3)
+    return _best_document_rows(qa.best_document_answers(load_queries(spark, sf_dir), arts, idx, k=3))
+
+
+def _best_document_rows(r):
     return r.select("query_id", "answer", "confidence", "context",
                     F.col("source.id").alias("source_id"), F.col("source.title").alias("source_title"),
                     F.col("source.author").alias("source_author"),
@@ -383,3 +401,33 @@ def conversation_answers(spark, sf_dir):
 def conversation_qa_answers(spark, sf_dir):
     arts, idx = _corpus_index(spark, sf_dir)
     return qa.flatten_answers(qa.answer_questions(_conv_queries(spark, sf_dir), arts, idx))
+
+
+# ------------------------------------------------------------ queries that find nothing
+
+# every fifth query has no terms, every fifth only a term of no document
+MIXED_CTE = ("q as (select item_id as query_id, case when item_id % 5 = 0 then '§ … !' when item_id % 5 = 1 "
+             "then 'zzqx' || item_id else text end as query from benchmark)")
+
+
+def _mixed_queries(spark, sf_dir):
+    n = F.col("query_id")
+    return load_queries(spark, sf_dir).withColumn("query", F.when(n % 5 == 0, "§ … !").when(n % 5 == 1, F.concat(F.lit("zzqx"), n)).otherwise(F.col("query")))
+
+
+@register("qa_best_document_nomatch", oracle_of("qa_best_document").replace(BENCH_CTE, MIXED_CTE))
+def qa_best_document_nomatch(spark, sf_dir):
+    """Q5 in the flow: the fixed answer for queries that match nothing."""
+    arts, idx = _store(spark, sf_dir)
+    return _best_document_rows(qa.best_document_answers(_mixed_queries(spark, sf_dir), arts, idx))
+
+
+@register("qa_answers_branches", _ORACLE_QA_ANSWERS.replace(BENCH_CTE, MIXED_CTE) + f"""
+  and len({sql_tokens('(select query from q where q.query_id = f.query_id)')}) > 0
+union all
+select query_id, {sql_str(qa.ERROR_ANSWER)}, cast(0.0 as double), {sql_str(qa.NO_TERMS_ERROR)}, null, null, null, null, cast(0 as bigint), {sql_str(qa.NO_TERMS_ERROR)}
+from q where len({sql_tokens('query')}) = 0""")
+def qa_answers_branches(spark, sf_dir):
+    """Q2, Q3 and Q8 in one flow: combined answers, fallbacks, error rows."""
+    arts, idx = _corpus_index(spark, sf_dir)
+    return qa.flatten_answers(qa.answer_questions(_mixed_queries(spark, sf_dir), arts, idx))

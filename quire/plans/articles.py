@@ -61,6 +61,19 @@ def archive_parse_importer(spark, sf_dir):
                     F.col("publish_date").cast("string").alias("publish_date"), "error")
 
 
+BLANK_ARCHIVE = f"select doc_id, filename, case when doc_id % 6 = 0 then chr(10) || ' ' || chr(9) else raw end as raw from ({ARCHIVE_SQL})"
+
+
+@register("archive_parse_blank_files", f"""
+with arch as (select * from ({BLANK_ARCHIVE}) where regexp_matches(raw, '\\S')), {sql_parse_ctes('arch', 'pa')}
+select filename, title, 'archive' as source, body as content from pa""")
+def archive_parse_blank_files(spark, sf_dir):
+    """An archive where every sixth file is blank."""
+    blank = derived_archive(read_table(spark, sf_dir, "documents")).withColumn(
+        "raw", F.when(F.col("doc_id") % 6 == 0, F.lit("\n \t")).otherwise(F.col("raw")))
+    return good_rows(parse_articles(archive_as_raw_files(blank), "text")).select("filename", "title", "source", "content")
+
+
 @register("archive_count", f"""
 with {TEXT_ARTICLES}
 select cast(count(*) as bigint) as total from arts""")

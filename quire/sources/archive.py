@@ -37,14 +37,16 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def scan_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, str | None]:
+def scan_archive(spark: SparkSession, folder: str, tolerant: bool = False) -> tuple[DataFrame, str | None]:
     """S1 + S3: ``raw_files (path, filename, content)`` for the ``.txt`` files
     directly in ``folder`` (not recursive).
 
     Returns ``(raw_files, problem)``; on a missing folder or a folder without
     ``.txt`` files the frame is empty (fixed schema) and ``problem`` says why.
     Differences to a plain folder listing: Spark skips names starting with
-    ``_`` or ``.``.
+    ``_`` or ``.``. With ``tolerant``, a file that can't be opened or read is
+    left out instead of failing the job; ``parse.unread_files`` names it. (A file
+    system's own refusal of access still fails it.)
     """
     root, any_file = _folder(spark, folder)
     if root is None:
@@ -54,6 +56,8 @@ def scan_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, str | Non
     df = (spark.read.format("binaryFile")
           .option("pathGlobFilter", ARCHIVE_GLOB)
           .option("recursiveFileLookup", "false")
+          .option("ignoreMissingFiles", str(tolerant).lower())
+          .option("ignoreCorruptFiles", str(tolerant).lower())
           .load(literal_path(folder)))
     # the name comes from the path: _metadata.file_name is percent-encoded
     name = F.substring_index("path", "/", -1)
