@@ -3,13 +3,21 @@
 Paging uses ``orderBy(...).offset(o).limit(n)``, which Spark runs as a
 per-partition top-(o+n) and a merge (``TakeOrderedAndProject``) — never a
 global ``row_number`` that would pull every row into one task. For deep pages
-``keyset_page`` continues after a cursor and only reads rows past it.
+``keyset_page`` continues after a cursor and only reads rows past it, and
+``ranked_page`` opens only the files of its page in a store written in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import ARTICLES
+from ..sources.archive import literal_path
+from ..sources.tables import conform_articles
 
 # Fixed values of the services.
 DEFAULT_TITLE = "Untitled"
@@ -83,14 +91,37 @@ def keyset_page(articles: DataFrame, after: tuple | None, limit: int = LIMIT_DEF
     return df.orderBy(*newest_first()).limit(limit)
 
 
-def source_struct(prefix: str = "") -> Column:
-    """``struct(id, title, author, publish_date)``, null without a document."""
-    p = prefix
-    return F.when(F.col(f"{p}article_id").isNotNull(), F.struct(
-        F.col(f"{p}article_id").alias("id"),
-        F.coalesce(F.col(f"{p}title"), F.lit(DEFAULT_TITLE)).alias("title"),
-        F.coalesce(F.col(f"{p}author"), F.lit(DEFAULT_AUTHOR)).alias("author"),
-        F.col(f"{p}publish_date_raw").alias("publish_date")))
+def write_ranked(articles: DataFrame, path: str, partitions: int | None = None) -> str:
+    """K11 with a rank directory: the articles in newest-first order, a range of it in each file, and a table of the
+    files with how many rows each holds. ``ranked_page`` then opens only the files of its page."""
+    keys = [F.col("publish_date").desc_nulls_last(), F.col("article_id").asc()]
+    rows = conform_articles(articles)
+    rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    rows.sortWithinPartitions(*keys).write.mode("errorifexists").parquet(os.path.join(path, "rows"))
+    stored = articles.sparkSession.read.schema(rows.schema).parquet(literal_path(os.path.join(path, "rows")))
+    # a file's name begins with its partition's number; a partition may be written as several files, numbered at the end
+    name = F.substring_index(F.input_file_name(), "/", -1)
+    files = stored.select(name.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    files.coalesce(1).write.mode("errorifexists").parquet(os.path.join(path, "files"))
+    return path
+
+
+def ranked_page(spark: SparkSession, path: str, page_no: int = PAGE_DEFAULT, limit: int = LIMIT_DEFAULT,
+                max_limit: int | None = LIMIT_MAX) -> DataFrame:
+    """L2 over ``write_ranked``: the rows of ``page``, from the few files that hold them, at any depth."""
+    check_page(page_no, limit, max_limit)
+    # a row for each file, not for its articles
+    files = spark.read.schema("file string, n long").parquet(literal_path(os.path.join(path, "files")))
+    upto = F.sum("n").over(Window.orderBy(F.regexp_extract("file", "[0-9]+", 0).cast("long"), "file"))
+    files = files.select("file", "n", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    first = (page_no - 1) * limit
+    found = files.where((F.col("upto") > first) & (F.col("upto") - F.col("n") < first + limit)).orderBy("upto").collect()
+    if not found:
+        return spark.createDataFrame([], T.StructType([*ARTICLES.fields, T.StructField("total", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("page", "limit")]]))
+    rows = spark.read.schema(ARTICLES).parquet(*[literal_path(os.path.join(path, "rows", r["file"])) for r in found])
+    before = found[0]["upto"] - found[0]["n"]
+    rows = rows.orderBy(*newest_first()).offset(first - before).limit(limit)
+    return rows.select("*", F.lit(found[0]["total"]).cast("long").alias("total"), F.lit(page_no).alias("page"), F.lit(limit).alias("limit"))
 
 
 def lookup(articles: DataFrame, ids: DataFrame, preview: int | None = None) -> DataFrame:

@@ -27,6 +27,9 @@ query, a block can give no article more than the sum over its terms of
 The ``FIRST`` blocks of greatest bound are scored, the k-th score found there is
 the query's threshold, and of the other blocks only those that can reach it are
 read. Rows are those of ``bm25_topk``.
+
+**Filters.** With a table of allowed articles (F3), blocks without one are never
+read, and of the others only the allowed postings are summed.
 """
 
 from __future__ import annotations
@@ -258,12 +261,16 @@ def block_bounds(weighted: Weighted, index: SegmentIndex, k1: float = K1, b: flo
 
 
 def block_scores(chosen: DataFrame, weighted: Weighted, index: SegmentIndex, k1: float = K1, b: float = B,
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``query_id, article_id, score`` of the live articles in the ``chosen`` (``query_id, seg, block``) blocks."""
+                 max_broadcast_rows: int = MAX_BROADCAST_ROWS, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, article_id, score`` of the live articles in the ``chosen`` (``query_id, seg, block``) blocks; with
+    ``allowed`` (``article_id, seg, block``) of those alone."""
     wanted = cut_lineage(chosen.select("query_id", "seg", "block").join(maybe_broadcast(weighted.terms, weighted.small), "query_id"))
     few = count_upto(wanted, max_broadcast_rows) <= max_broadcast_rows
     met = index.postings.where(weighted.where).join(maybe_broadcast(wanted, few), ["part", "term", "seg", "block"])
     pairs = met.select("query_id", "seg", "idf", F.inline("entries"))
+    if allowed is not None:
+        ids = allowed.select("article_id", "seg")
+        pairs = pairs.join(maybe_broadcast(ids, count_upto(ids, max_broadcast_rows) <= max_broadcast_rows), ["article_id", "seg"], "left_semi")
     weight = F.col("idf") * _impact(F.col("tf"), F.col("dl"), index.avgdl, k1, b)
     sums = pairs.groupBy("query_id", "seg", "article_id").agg(F.sum(weight).alias("w"))
     if index.manifest["tombstones"]:
@@ -273,23 +280,31 @@ def block_scores(chosen: DataFrame, weighted: Weighted, index: SegmentIndex, k1:
 
 
 def segment_topk(queries: DataFrame, index: SegmentIndex, k: int = 10, k1: float = K1, b: float = B, text_col: str = "query",
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The top ``k`` articles of each query, ``query_id, article_id, score, rank``, as ``bm25_topk`` gives them."""
+                 max_broadcast_rows: int = MAX_BROADCAST_ROWS, only: DataFrame | None = None) -> DataFrame:
+    """The top ``k`` articles of each query, ``query_id, article_id, score, rank``, as ``bm25_topk`` gives them;
+    F3: among the articles of ``only`` (``article_id``), with the statistics of the whole corpus."""
     if not index.n_docs:
         return index.spark.createDataFrame([], "query_id long, article_id string, score double, rank long")
     weighted = weighted_terms(queries, index, text_col, max_broadcast_rows)
-    bounds = cut_lineage(block_bounds(weighted, index, k1, b))
-    first, rest = _chosen(bounds, weighted, index, k, k1, b, max_broadcast_rows)
-    scores = first.unionByName(block_scores(rest, weighted, index, k1, b, max_broadcast_rows))
+    bounds, allowed = block_bounds(weighted, index, k1, b), None
+    if only is not None:
+        ids = only.select("article_id").distinct()
+        small = count_upto(ids, max_broadcast_rows) <= max_broadcast_rows
+        allowed = cut_lineage(index.live.select("article_id", "seg", "block").join(maybe_broadcast(ids, small), "article_id", "left_semi"))
+        places = allowed.select("seg", "block").distinct()
+        bounds = bounds.join(maybe_broadcast(places, count_upto(places, max_broadcast_rows) <= max_broadcast_rows), ["seg", "block"], "left_semi")
+    bounds = cut_lineage(bounds)
+    first, rest = _chosen(bounds, weighted, index, k, k1, b, max_broadcast_rows, allowed)
+    scores = first.unionByName(block_scores(rest, weighted, index, k1, b, max_broadcast_rows, allowed))
     return rank_within(scores, k)
 
 
 def _chosen(bounds: DataFrame, weighted: Weighted, index: SegmentIndex, k: int, k1: float, b: float,
-            max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+            max_broadcast_rows: int, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The scores of each query's first blocks, and the other blocks that can reach its threshold."""
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "seg", "block")
     ranked = bounds.withColumn("nth", F.row_number().over(order))
-    first = cut_lineage(block_scores(ranked.where(F.col("nth") <= FIRST), weighted, index, k1, b, max_broadcast_rows))
+    first = cut_lineage(block_scores(ranked.where(F.col("nth") <= FIRST), weighted, index, k1, b, max_broadcast_rows, allowed))
     threshold = rank_within(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     small = count_upto(threshold, max_broadcast_rows) <= max_broadcast_rows  # a row for each query at most
     # a score is rounded and the bound is a sum of another order: a margin of a last digit

@@ -24,10 +24,6 @@ def count_upto(df: DataFrame, bound: int) -> int:
     return min(df.count(), bound + 1)
 
 
-def is_bounded(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> bool:
-    return count_upto(df, bound) <= bound
-
-
 def maybe_broadcast(df: DataFrame, proven_small: bool) -> DataFrame:
     """Broadcast hint only for a side whose size was checked."""
     return F.broadcast(df) if proven_small else df

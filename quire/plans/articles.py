@@ -201,6 +201,17 @@ def list_newest_page3(spark, sf_dir):
     return _page(spark, sf_dir, listing.page, 3, 50, None)
 
 
+def _ranked(spark, sf_dir):
+    # several files, so that a page is a part of them
+    return listing.write_ranked(_text_articles(spark, sf_dir), shared_path(spark, "ranked"), 12)
+
+
+@register("list_newest_page_deep", _page_sql(NEWEST, 17, 50))
+def list_newest_page_deep(spark, sf_dir):
+    """L2 over the written layout: the files of page 17 alone are opened."""
+    return listing.list_projection(listing.ranked_page(spark, _ranked(spark, sf_dir), 17, 50), None, keep=("total", "page", "limit"))
+
+
 @register("list_store_order_page2", _page_sql("arts.article_id", 2, 10, "left(content, 2000)"))
 def list_store_order_page2(spark, sf_dir):
     return _page(spark, sf_dir, listing.store_page, 2, 10, 2000)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import segments
 from ..operators.index import build_index
-from ..operators.search import bm25_topk, search, text_match
+from ..operators.search import bm25_topk, filter_condition, search, text_match
 from ..session import shared_path
 from ..sources.tables import load_corpus, load_queries
 from .catalog import (BENCH_CTE, DOCS_CTE, register, sql_bm25_ctes, sql_index_ctes,
@@ -119,3 +119,17 @@ def bm25_updated_index_top5(spark, sf_dir):
     segments.add(articles.where((n % 3 == 0) | (n % 4 == 0)), base)
     index = segments.remove(spark, base, articles.where(n % 7 == 1).select("article_id"))
     return segments.segment_topk(load_queries(spark, sf_dir), index, k=5)
+
+
+@register("filtered_saved_index_top10", f"""
+with {DOCS_CTE}, {BENCH_CTE}, {IDX}, {sql_bm25_ctes()}
+select query_id, article_id, score, rank from (
+  select s.query_id, s.article_id, s.score,
+         cast(row_number() over (partition by s.query_id order by s.score desc, s.article_id) as bigint) as rank
+  from scores s join docs d on d.article_id = s.article_id where d.source in ('src1', 'src2', 'src3')) where rank <= 10""")
+def filtered_saved_index_top10(spark, sf_dir):
+    """F3 on a stored index: only blocks with an allowed article are read."""
+    articles = load_corpus(spark, sf_dir)
+    index = segments.add(articles, shared_path(spark, "segments"))
+    only = articles.where(filter_condition({"source": ["src1", "src2", "src3"]}))
+    return segments.segment_topk(load_queries(spark, sf_dir), index, k=10, only=only)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import segments, versions
 from quire.operators.index import build_index, load_index, save_index
-from quire.operators.search import bm25_topk
+from quire.operators.search import bm25_topk, filter_condition, filtered_search
 from quire.sources.tables import load_corpus, load_queries
 
 from conftest import SF_SMALL
@@ -142,3 +142,14 @@ def test_an_index_is_saved_over_the_one_it_was_loaded_from(spark, corpus, scratc
     expected = rows(bm25_topk(queries, load_index(spark, path), 5))
     save_index(load_index(spark, path), path)
     assert rows(bm25_topk(queries, load_index(spark, path), 5)) == expected
+
+
+def test_filters_reach_the_blocks(spark, corpus, scratch, monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    _, queries = corpus
+    articles = load_corpus(spark, SF_SMALL)
+    index = segments.add(articles, scratch + "/index", parts=4)
+    allowed = {"source": ["src1", "src2"]}
+    expected = rows(filtered_search(queries, articles, build_index(articles, materialize=True), allowed, 5))
+    assert expected and rows(segments.segment_topk(queries, index, 5, only=articles.where(filter_condition(allowed)))) == expected
+    assert segments.segment_topk(queries, index, 5, only=articles.where("false")).count() == 0

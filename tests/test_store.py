@@ -8,6 +8,8 @@ from quire.operators.parse import good_rows, parse_articles
 from quire.schemas import ARTICLES
 from quire.sources.tables import archive_as_raw_files, derived_archive, import_scenario, read_table
 
+from quire.sources.archive import literal_path
+
 from conftest import SF_SMALL
 
 
@@ -171,3 +173,18 @@ def test_import_takes_one_row_per_file_name(spark, scratch):
     path, stats = store.import_articles(spark, None, parse_articles(raw, "importer"), scratch + "/v1", "2024-01-01 00:00:00")
     assert stats.collect()[0]["processed"] == 2
     assert sorted(r["filename"] for r in spark.read.parquet(path).collect()) == ["x.txt", "y.txt"]
+
+
+def test_ranked_pages_open_only_their_files(spark, articles, scratch):
+    n = articles.count()
+    path = listing.write_ranked(articles, scratch + "/[ranked]", 8)
+    for page_no, limit in ((1, 10), (3, 7), (2, 50), (n // 10 + 1, 10), (n, 1)):
+        by_offset = [r["article_id"] for r in listing.page(articles, page_no, limit).collect()]
+        found = listing.ranked_page(spark, path, page_no, limit)
+        rows = found.collect()
+        assert [r["article_id"] for r in rows] == by_offset and all((r["total"], r["page"], r["limit"]) == (n, page_no, limit) for r in rows)
+    assert listing.ranked_page(spark, path, n + 1, 10).count() == 0
+    opened = listing.ranked_page(spark, path, 2, 5).inputFiles()
+    assert 1 <= len(opened) < len(spark.read.parquet(literal_path(path + "/rows")).inputFiles())
+    with pytest.raises(ValueError):
+        listing.ranked_page(spark, path, 1, 51)
