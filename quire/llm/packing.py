@@ -4,8 +4,10 @@ Lengths above a threshold are sorted and dealt into groups of equal
 cardinality, each rounded up to its longest member; what is left is a cutting
 problem of few sizes, solved by column generation over configurations (the
 multisets of sizes that fit a sequence). Every configuration's places are then
-taken by actual documents of its groups, and short pieces fill the room that is
-really left, best fit first.
+taken by actual documents of its groups, and the shorter pieces fill the room
+that is really left, best fit first. Rounding up wastes room that only shorter
+pieces give back, so a few thresholds (``THRESHOLDS``) and numbers of groups are tried
+on the counts by length, which tell each one's sequences exactly; the fewest win.
 
 Only counts by length (at most ``capacity`` of them) reach the driver, and only
 ranges of ranks (a number bounded by groups and capacity, whatever the rows)
@@ -36,6 +38,7 @@ CAPACITY = 1024
 END = 2
 GROUPS = 64
 SMALL = 96  # pieces of at most so many tokens are packed last, by best fit
+THRESHOLDS = (384, 448, 512)  # what ``pack`` tries for it
 _BLOCK = 1 << 16
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -162,6 +165,37 @@ def plan_large(counts: np.ndarray, capacity: int = CAPACITY, small: int = SMALL,
     return np.array(sorted(rows), np.int64).reshape(-1, 3), bins
 
 
+def rooms_left(counts: np.ndarray, plan: np.ndarray, capacity: int, small: int) -> dict[int, int]:
+    """How many sequences of ``plan_large``'s rows have each room left, from the counts alone: along the uses of a
+    configuration its places hold runs of equal lengths."""
+    ends = np.cumsum(counts[np.arange(capacity, small, -1)])
+    columns, rooms = defaultdict(list), defaultdict(int)
+    for (first, at, _), end in zip(plan.tolist(), [*plan[1:, 0].tolist(), int(ends[-1])]):
+        columns[at].append((first, end - first))
+    for places in columns.values():
+        times = places[0][1]
+        cuts = {0, times}
+        for first, _ in places:
+            cuts.update((ends[(ends > first) & (ends < first + times)] - first).tolist())
+        cuts = sorted(cuts)
+        for a, b in zip(cuts, cuts[1:]):
+            rooms[capacity - sum(capacity - int(np.searchsorted(ends, first + a, "right")) for first, _ in places)] += b - a
+    return rooms
+
+
+def best_plan(counts: np.ndarray, capacity: int, smalls: tuple[int, ...], groups: int) -> tuple[int, np.ndarray, int]:
+    """The threshold, rows and sequences of ``plan_large`` after which the fewest sequences are needed in all."""
+    tried = []
+    for small in sorted({min(s, capacity - 1) for s in smalls}):
+        # coarser groups round lengths up further, but leave fewer uses to round down; they can win on few documents
+        for k in (1, 2, 4):
+            plan, bins = plan_large(counts, capacity, small, max(1, groups // k))
+            _, fresh = plan_small(counts, rooms_left(counts, plan, capacity, small), capacity, small)
+            tried.append((bins + fresh, small, k, plan, bins))
+    _, small, _, plan, bins = min(tried, key=lambda t: t[:3])
+    return small, plan, bins
+
+
 def plan_small(counts: np.ndarray, rooms: dict[int, int], capacity: int = CAPACITY, small: int = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best fit of the short pieces, longest first: rows (length, first rank, room, first rank of the sequences that had this
     room, place), where room ``capacity`` means new sequences; and the number of new sequences. ``rooms``: sequences by room left."""
@@ -215,15 +249,14 @@ def _in_ranges(df: DataFrame, key: str, firsts: np.ndarray, found: dict[str, np.
     return df.mapInArrow(run, schema)
 
 
-def pack(split: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> tuple[DataFrame, list[str]]:
+def pack(split: DataFrame, capacity: int = CAPACITY, smalls: tuple[int, ...] = THRESHOLDS, groups: int = GROUPS) -> tuple[DataFrame, list[str]]:
     """``pieces`` (a written table) with ``sequence_id`` and ``offset``; and the paths of tables it wrote on the way."""
     counts = np.zeros(capacity + 1, np.int64)
     for row in split.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     ranked = _ranked(split, "length", "turn", "part").drop("part", "turn")
 
-    # coarser groups round lengths up further, but leave fewer uses to round down; they can win on few documents
-    plan, bins = min((plan_large(counts, capacity, small, max(1, groups // k)) for k in (1, 2, 4)), key=lambda p: p[1])
+    small, plan, bins = best_plan(counts, capacity, smalls, groups)
     longer = np.zeros(capacity + 1, np.int64)  # pieces longer than this
     longer[:-1] = np.cumsum(counts[::-1])[::-1][1:]
     before = F.element_at(F.array(*[F.lit(int(x)) for x in longer]), F.col("length").cast("int") + 1)
