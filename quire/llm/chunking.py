@@ -1,11 +1,14 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over the bytes of a text: each step shifts the hash left by
-one bit and adds a random value of the byte, so a 32-bit hash depends on the
-last 32 bytes only. A chunk ends where the hash's highest bits are all zero and
-no such place came within the ``LEAST`` bytes before, so cuts depend on nearby
-bytes alone and an insertion moves them no further than its surroundings. A chunk longer than ``MOST`` is
-cut again at that stride.
+one bit and adds a random value of the byte, so a 16-bit hash depends on the
+last 16 bytes only. A chunk ends where the hash is the greatest of all within
+``RADIUS`` bytes on either side, so cuts depend on nearby bytes alone, an
+insertion moves them no further than its surroundings, and chunks vary less in
+length than with a fixed pattern of bits. Where the greatest value recurs in
+the radius, as in stretches of a short period, it cuts every ``LEAST`` bytes or
+a little more, at the same phase wherever the stretch begins. A chunk longer
+than ``MOST`` is cut again at that stride.
 
 Chunks are told apart by a 128-bit digest. The first chunk of each digest, by
 document id and place, is the original; every other one is a repeat. Repeats
@@ -13,7 +16,10 @@ that follow each other form a passage, which counts from ``PASSAGE`` bytes on.
 
 Defined results: null and empty texts have no chunks; a null id is given as it
 is and sorts before others; rows of one id and text are copies of each other
-(told apart by a number from their text and order); other columns are not read.
+(told apart by a number from their place in the table); of equal chunks the
+first by id, then by that number, is the original; a very long text is chunked
+as a whole, by one task; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,29 +35,41 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .hashing import buffer, mix64
 
-BITS = 5  # a cut every 2 ** BITS bytes on average, before LEAST
+RADIUS = 24
 LEAST = 16
 MOST = 4096
 PASSAGE = 120
-_GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+_GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(48)).astype(np.uint16)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: sums over 1, 2, 4, ... 32 bytes, each from two of the last."""
+    """The rolling hash after each byte: sums over 1, 2, 4, 8, 16 bytes, each from two of the last."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         if len(h) > k:
-            h[k:] += h[:-k] << np.uint32(k)
+            h[k:] += h[:-k] << np.uint16(k)
     return h
 
 
-def cut_points(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> np.ndarray:
+def greatest_near(h: np.ndarray, radius: int) -> np.ndarray:
+    """The greatest value within ``radius`` places of each: over 1, 2, 4, ... places, then over the whole width from two."""
+    edge = np.zeros(radius, h.dtype)
+    most, size, width = np.concatenate([edge, h, edge]), 1, 2 * radius + 1
+    while 2 * size <= width:
+        most = np.maximum(most[:-size], most[size:])
+        size *= 2
+    return np.maximum(most[:len(most) - (width - size)], most[width - size:]) if size < width else most
+
+
+def cut_points(data: np.ndarray, radius: int = RADIUS, least: int = LEAST, most: int = MOST) -> np.ndarray:
     """Where the chunks of one text end."""
     if not len(data):
         return np.zeros(0, np.int64)
-    hits = np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1
-    if len(hits):
-        hits = hits[np.diff(hits, prepend=-least) >= least]
+    h = gear(data)
+    hits = np.flatnonzero(h == greatest_near(h, radius)) + 1
+    apart = np.diff(hits, prepend=hits[0] - least) >= least
+    first = hits[apart][np.cumsum(apart) - 1]  # of the hits that follow each other closely
+    hits = hits[apart | (np.diff((hits - first) // least, prepend=0) > 0)]
     ends = np.append(hits[hits < len(data)], len(data))
     sizes = np.diff(ends, prepend=0)
     if (sizes > most).any():
@@ -64,7 +82,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("nth", pa.int
 _DDL = "doc_id long, tie long, nth int, start long, length int, digest_a long, digest_b long"
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """A row for each chunk: its document, number, first byte, bytes and digest; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +93,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
                 which, numbers, starts, lengths, digests = [], [], [], [], []
                 for k in range(len(ids)):
                     text = data[offsets[k]:offsets[k + 1]]
-                    ends = cut_points(text, bits, least, most)
+                    ends = cut_points(text, radius, least, most)
                     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                     raw = text.tobytes()
                     digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]

@@ -1,5 +1,6 @@
 """The operators on small tables with the awkward cases, against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -117,6 +118,39 @@ def test_cuts_cover_a_text_and_resist_insertions():
     assert np.diff(chunking.cut_points(np.zeros(20_000, np.uint8)), prepend=0).max() <= chunking.MOST
 
 
+def _shared_run(a, b):
+    """Bytes of the longest run of chunks of ``b`` that ``a`` has too."""
+    parts = []
+    for text in (a, b):
+        ends = chunking.cut_points(np.frombuffer(text, np.uint8)).tolist()
+        parts.append([text[x:y] for x, y in zip([0, *ends], ends)])
+    known, best, run = set(parts[0]), 0, 0
+    for part in parts[1]:
+        run = run + len(part) if part in known else 0
+        best = max(best, run)
+    return best
+
+
+def test_passages_of_51_words_are_found():
+    rng = random.Random(3)
+    words_of = [prose(k, 400).split() for k in range(40)] + [["la", "li"] * 200, ["of the same word"] * 100]
+    missed = 0
+    for _ in range(600):
+        source, at = rng.choice(words_of[:40]), rng.randrange(340)
+        passage = source[at:at + 51]
+        around = [rng.choice(words_of) for _ in range(4)]
+        texts = [" ".join(around[k][:rng.randrange(100)] + passage + around[k + 1][rng.randrange(100):]).encode() for k in (0, 2)]
+        missed += _shared_run(*texts) < chunking.PASSAGE
+    assert missed <= 6  # at most 1 %
+
+
+def test_periodic_passages_are_found_at_any_phase():
+    for period in ("ab", "tick ", "one two ", "nothing but this line over and over\n"):
+        stretch = period * (300 // len(period) + 2)
+        a, b = (prose(5, 50) + stretch + prose(6, 50)).encode(), (prose(7, 33) + stretch[1:] + prose(8, 40)).encode()
+        assert _shared_run(a, b) >= chunking.PASSAGE
+
+
 def test_plain_formats_match_their_patterns():
     text = ("mail a.b+c@mail1.example.com, @x.y, a@b and z@q.r.s 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 x 4539 1488 0343 6467, 4539148803436468 "
             "+1 (545) 555-9193 +12 3 +1234567890123456 a@b.c@d.e é 10.0.0.255x") * 2
