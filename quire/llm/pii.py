@@ -1,17 +1,22 @@
 """Personal data by bootstrapped contextual extraction.
 
 Plain formats (email, ip, card, phone) give the seed entities. Every seed and
-every other identifier-like word (one with a digit, or a seed) votes for the
-lexical patterns around it: the two words before it, and the word on either
-side. Spark scores the pattern-instance graph in rounds: a pattern is as good
+every other identifier-like text votes for the lexical patterns around it: the two
+words before it, and the word on either side. Identifier-like are, of at least
+``MIN_LENGTH`` characters: a word with a digit; neighbouring groups of digits on
+one line, of ``RUN_DIGITS`` digits together ("(545) 555 9193"); a word without
+digits that has "@", "." or "_" between letters; and an address whose "@" or
+"." is spelt out ("jo [at] site [dot] org"). Groups of digits are never taken
+for an e-mail address, words without digits for nothing else. Spark scores the pattern-instance graph in rounds: a pattern is as good
 as the share of its distinct instances that are already known to be of the
 kind, an instance as good as its patterns together; good patterns turn the
 unknown identifiers that they extract into seeds of the next round. Found
 identifiers are added to the plain ones, which always stay.
 
 Defined results: a null or empty text has no spans; a null id is kept; rows
-with equal id and text have equal results; an empty table gives no rows; other
-columns are not read. Offsets are code points, the end exclusive.
+with equal id and text have equal results; of kinds with equal confidence the
+last by name is taken; a very long text is read whole, in time linear in its
+length; an empty table gives no rows; other columns are not read. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ MIN_DOCUMENTS = 3  # distinct texts behind a pattern
 MIN_PATTERN = 0.8  # share of a pattern's instances that are known
 MIN_INSTANCE = 0.85
 MIN_LENGTH = 6  # of an identifier that no plain format knows
+RUN_DIGITS = range(7, 20)  # of neighbouring groups together: from a local number to the longest card
 
 # The plain formats. A run of digits or local characters is entered at its beginning only.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +47,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9][^\x20\x09-\x0D]*")
+_GROUPS = re.compile(r"(?<![0-9])[+(]{0,2}(?<![0-9])[0-9]++(?:[\x20().\-/]{1,3}+[0-9]++)++")
+_SIGNED = re.compile(r"[A-Za-z][@._][A-Za-z][^\x20\x09-\x0D]*")
+_SPELT_AT = re.compile(r"\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20)", re.I)
+_SPELT_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++", re.I)
 _SPACE = "\x20\t\n\x0b\x0c\r"
 _EDGE = "\"'`()[]{}<>.,;:!?|*#$%&="
 
@@ -100,11 +110,58 @@ def _word_after(text: str, at: int) -> str:
     return text[at:end].strip(_EDGE).lower()
 
 
-def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """The seeds, and the identifier-like words that touch none of them, with the two patterns around each."""
-    found = [(s, e, kind) for s, e, kind in spans]
-    taken, k, end = sorted((s, e) for s, e, _ in spans), 0, 0
-    for m in _DIGIT.finditer(text):
+def _free(spans: list[tuple[int, int]], found: list[tuple]) -> list[tuple]:
+    """Those of ``found`` that touch no span; both by start, neither overlapping its own kind."""
+    out, k = [], 0
+    for item in found:
+        while k < len(spans) and spans[k][1] <= item[0]:
+            k += 1
+        if not (k < len(spans) and spans[k][0] < item[1]):
+            out.append(item)
+    return out
+
+
+def _united(*lists: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(s for spans in lists for s in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _digit_groups(text: str) -> list[tuple[int, int]]:
+    """Neighbouring groups of digits, with a space among them, that are whole words but for signs at their edges."""
+    out = []
+    for m in _GROUPS.finditer(text):
+        a, b = m.span()
+        after = b
+        while after < len(text) and text[after] in _EDGE and after - b < 3:
+            after += 1
+        whole = (not a or text[a - 1] in _SPACE or text[a - 1] in _EDGE) and (after == len(text) or text[after] in _SPACE)
+        if whole and " " in m[0] and sum(c.isdigit() for c in m[0]) in RUN_DIGITS:
+            out.append((a, b))
+    return out
+
+
+def _spelt_addresses(text: str) -> list[tuple[int, int]]:
+    out, end = [], 0
+    for m in _SPELT_AT.finditer(text):
+        start, host = m.start(), _SPELT_HOST.match(text, m.end())
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < m.start():
+            end = host.end()
+            out.append((start, end))
+    return out
+
+
+def _identifier_words(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """The words that ``pattern`` matches from somewhere inside to their end, without signs at their edges."""
+    out, end = [], 0
+    for m in pattern.finditer(text):
         start = m.start()
         while start > end and text[start - 1] not in _SPACE:
             start -= 1
@@ -114,16 +171,27 @@ def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
             a += 1
         while b > a and text[b - 1] in _EDGE:
             b -= 1
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if b - a >= MIN_LENGTH and not (k < len(taken) and taken[k][0] < end):
-            found.append((a, b, None))
+        if b - a >= MIN_LENGTH:
+            out.append((a, b))
+    return out
+
+
+def candidates(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
+    """The seeds, and the identifier-like texts that touch neither them nor each other, with the two patterns around each.
+    ``shape``: of digits only, of no digits or a spelt address ("word"), or "mixed"."""
+    found = [(s, e, kind, "mixed") for s, e, kind in spans]
+    taken = _united([(s, e) for s, e, _ in spans])
+    for shape, more in (("word", _spelt_addresses), ("digits", _digit_groups), ("mixed", lambda t: _identifier_words(t, _DIGIT)),
+                        ("word", lambda t: _identifier_words(t, _SIGNED))):
+        new = _free(taken, more(text))
+        found += [(a, b, None, shape) for a, b in new]
+        taken = _united(taken, new)
     out = []
-    for a, b, kind in found:
+    for a, b, kind, shape in found:
         one, at = _word_before(text, a)
         two, _ = _word_before(text, at)
         value = hashlib.blake2b(text[a:b].lower().encode(), digest_size=12).hexdigest()
-        out.append({"start": a, "end": b, "kind": kind, "value": value, "patterns": [f"{two} {one} _", f"{one} _ {_word_after(text, b)}"]})
+        out.append({"start": a, "end": b, "kind": kind, "shape": shape, "value": value, "patterns": [f"{two} {one} _", f"{one} _ {_word_after(text, b)}"]})
     return out
 
 
@@ -131,11 +199,11 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
-_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
 _SPAN = pa.struct([("start", pa.int64()), ("turn", pa.int32()), ("kind", pa.string()), ("end", pa.int64())])
 _SCAN_DDL = ("doc_id long, tie long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
              "base array<struct<start:long,turn:int,kind:string,end:long>>, "
-             "found array<struct<start:long,end:long,kind:string,value:string,patterns:array<string>>>")
+             "found array<struct<start:long,end:long,kind:string,shape:string,value:string,patterns:array<string>>>")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,9 +231,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, list[str]]:
     """``(value, kind, confidence)`` of the identifiers found beside the seeds, the last round's patterns, and the paths written."""
     hits = (scanned.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tie", F.explode("found").alias("f"))
-            .select("doc_id", "tie", "f.kind", "f.value", F.explode(F.array_distinct("f.patterns")).alias("pattern")))
+            .select("doc_id", "tie", "f.kind", "f.shape", "f.value", F.explode(F.array_distinct("f.patterns")).alias("pattern")))
     # the graph: a pattern extracts a value, whatever number of texts repeat it
-    edges, path = written(hits.select("pattern", "value", "kind").distinct(), "pii-edges")
+    edges, path = written(hits.select("pattern", "value", "kind", "shape").distinct(), "pii-edges")
     # texts behind the values that a pattern extracts, distinct first, so that a common pattern is counted by all tasks
     links, other = written(hits.select("pattern", "value", "tie").distinct(), "pii-texts")
     paths = [path, other]
@@ -173,14 +241,15 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     found, patterns = None, None
     for turn in range(rounds):
         totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-        voted = edges.drop("kind").join(known, "value").groupBy("pattern", "kind").agg(
+        voted = edges.drop("kind", "shape").join(known, "value").groupBy("pattern", "kind").agg(
             F.countDistinct("value").alias("hits"), F.sum("confidence").alias("weight")).where(F.col("hits") >= MIN_INSTANCES)
         behind = (links.join(known.select("value", "kind"), "value").select("pattern", "kind", "tie").distinct()
                   .groupBy("pattern", "kind").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCUMENTS))
         patterns = (voted.join(behind.select("pattern", "kind"), ["pattern", "kind"]).join(totals, "pattern")
                     .withColumn("precision", F.col("weight") / F.greatest("n", F.col("weight"))).where(F.col("precision") >= MIN_PATTERN)
                     .select("pattern", "kind", "hits", "n", "precision"))
-        extracted = edges.where("kind is null").drop("kind").join(patterns, "pattern")
+        extracted = edges.where("kind is null").drop("kind").join(patterns, "pattern").where(
+            (F.col("shape") == "mixed") | ((F.col("shape") == "word") == (F.col("kind") == "email")))
         miss = F.sum(F.log(1 - F.least("precision", F.lit(0.99))))
         scored = (extracted.groupBy("value", "kind").agg((1 - F.exp(miss)).alias("confidence"))
                   .groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("best"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -174,6 +175,36 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.extract(frame(spark, []))[0].count() == 0
 
 
+def test_candidates_of_every_shape():
+    text = "phone: 555 123 4567 and (545) 555-9193, jo.doe mail jo [at] site [dot] org or al at big-site dot com; at 12:30 1 2 3 x9 look at home a_b"
+    found = {text[c["start"]:c["end"]]: c["shape"] for c in pii.candidates(text, [])}
+    assert found == {"555 123 4567": "digits", "(545) 555-9193": "digits", "jo.doe": "word", "jo [at] site [dot] org": "word", "al at big-site dot com": "word"}
+    text = "on 2024-01-05 12:30"  # 12:30 is a word that isn't digits only, so these are no groups
+    assert [text[c["start"]:c["end"]] for c in pii.candidates(text, [])] == ["2024-01-05"]
+    seed = pii.plain_spans("call +1 (545) 555-9193 now")
+    assert len(pii.candidates("call +1 (545) 555-9193 now", seed)) == 1
+    for text in ("1" * 300_000, "1 " * 150_000, "(" * 300_000, "a(at)" * 60_000, "a." * 150_000, "1(" * 150_000, " at a" * 60_000):
+        started = time.monotonic()
+        spans = [(c["start"], c["end"]) for c in pii.candidates(text, [])]
+        assert time.monotonic() - started < 5 and all(x[1] <= y[0] for x, y in zip(sorted(spans), sorted(spans)[1:]))
+
+
+def test_contexts_find_spaced_numbers_and_spelt_addresses(spark):
+    docs = [(k, f"{prose(k, 30)} reach me by phone: +1 (545) 555-{1000 + k} {prose(k + 500, 20)} or write mail to: jo{k}@site{k}.org {prose(k + 900, 9)}", "en", "s", 0) for k in range(20)]
+    texts = {50: "reach me by phone: 555 123 4567", 51: "reach me by phone: (545) 555-9193", 52: "or write mail to: jo [at] site [dot] org",
+             53: "or write mail to: jo.doe", 54: "reach me by phone: jo.doe", 55: "or write mail to: 555 123 4567", 56: "555 123 4567 elsewhere"}
+    docs += [(k, f"{prose(k, 30)} {t} {prose(k + 50, 20)}", "en", "s", 0) for k, t in texts.items() if k != 56] + [(56, f"{prose(56, 9)} 777 123 4567 {prose(57, 9)}", "en", "s", 0)]
+    rows = {r["doc_id"]: r["spans"] for r in pii.extract(frame(spark, docs))[0].collect()}
+
+    def spans(k, value, kind):
+        at = next(d[1] for d in docs if d[0] == k).index(value)
+        return f"{kind}:{at}:{at + len(value)}"
+
+    assert rows[50] == spans(50, "555 123 4567", "phone") and rows[51] == spans(51, "(545) 555-9193", "phone")
+    assert rows[52] == spans(52, "jo [at] site [dot] org", "email") and rows[53] == spans(53, "jo.doe", "email")
+    assert rows[56] == "" and "phone:" not in rows[54]
+
+
 def test_every_text_behind_a_pattern_counts(spark):
     # the same identifiers stand together in near copies: all have the same least and greatest text
     block = " ".join(f"reach me by phone: +1 (545) 555-{1000 + j} {prose(700 + j, 5)}" for j in range(6))
