@@ -30,12 +30,10 @@ def op2_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
-    _, path = written(sharding.initial_map(spark, shards), "slot-map-1")
-    first = spark.read.parquet(path)
-    _, path = written(sharding.grow(first, shards), "slot-map-2")
-    second = spark.read.parquet(path)
-    placed = sharding.assign(sharding.records(documents(spark, sf_dir)), first, second)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
+    placed, _, paths = sharding.place_by_bytes(documents(spark, sf_dir), shards)
+    rows = placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+                         "virtual_slot", "first_shard")
+    return _finished(rows, "op3", paths)
 
 
 def op4_oph_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 Records are hashed into a fixed number of virtual slots. Bytes and rows are
 aggregated per slot, and a versioned table maps every slot to a shard; a
-rebalance only edits that map, the records' slots never change. All steps are
-DataFrame expressions; the map has ``n_slots`` rows, in ``N_LANES`` lanes
+rebalance only edits that map, the records' slots never change. Two laws:
+``place_by_bytes`` edits the first map by the bytes of the slots, ``grow`` deals
+slots to a new shard by their number alone. All steps are DataFrame expressions; the map has ``n_slots`` rows, in ``N_LANES`` lanes
 each, at any input size, which bounds its broadcast.
 
 Defined results: a null id hashes as the empty string; a null text has no
-bytes; equal rows each get a place of their own; an empty table gives no rows.
-Other columns are not read.
+bytes; equal rows each get a place of their own, in one slot; a slot is never
+split, so a shard is above the mean by a very long text where that alone is
+longer than the mean; of slots that fit equally the smallest moves; an empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import shared_path
+
+from .common import written
+
 N_SLOTS = 4096
 N_LANES = 8
 
@@ -26,11 +33,13 @@ def virtual_slot(id_col: Column, n_slots: int = N_SLOTS) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % n_slots
 
 
-def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot`` of each row; texts go no further."""
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, by_text: bool = False) -> DataFrame:
+    """``doc_id, size, text_crc32, virtual_slot`` of each row; texts go no further. ``by_text`` hashes the id and the
+    text's CRC, so that different texts of one id are spread over the slots; else the id alone decides."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col(id_col), n_slots).alias("virtual_slot"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32")) if by_text else F.col("doc_id")
+    return rows.withColumn("virtual_slot", virtual_slot(key, n_slots))
 
 
 def _lane(recs: DataFrame) -> DataFrame:
@@ -57,8 +66,9 @@ def grow(slot_map: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFram
 
 
 def rebalance(slot_map: DataFrame, stats: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """The next version, edited by bytes: while the fullest shard is above the mean by more than ``tolerance``, its
-    largest slot that still fits moves to the emptiest. Reads ``n_slots`` rows on the driver, at any input size."""
+    """The next version, edited by bytes: while the fullest shard is above the mean by more than ``tolerance``, the slot
+    that comes nearest to half of the difference moves from it to the emptiest. Reads ``n_slots`` rows on the driver, at
+    any input size."""
     spark = slot_map.sparkSession
     rows = slot_map.join(stats, "virtual_slot", "left").select("version", "virtual_slot", "shard", F.coalesce("bytes", F.lit(0)).alias("bytes")).collect()
     shard = {r.virtual_slot: r.shard for r in rows}
@@ -69,13 +79,11 @@ def rebalance(slot_map: DataFrame, stats: DataFrame, tolerance: float = 0.02) ->
     mean = sum(load.values()) / max(1, len(load))
     for _ in range(len(rows)):
         high, low = max(load, key=load.get), min(load, key=load.get)
-        room = min(load[high] - mean, mean - load[low])
-        if load[high] <= mean * (1 + tolerance):
-            break
-        fits = [slot for slot in shard if shard[slot] == high and 0 < size[slot] <= room]
-        if not fits:
+        gap = load[high] - load[low]
+        fits = [slot for slot in shard if shard[slot] == high and 0 < size[slot] < gap]
+        if load[high] <= mean * (1 + tolerance) or not fits:
             break
-        best = max(fits, key=lambda slot: (size[slot], -slot))
+        best = min(fits, key=lambda slot: (abs(2 * size[slot] - gap), slot))
         shard[best] = low
         load[high] -= size[best]
         load[low] += size[best]
@@ -105,3 +113,17 @@ def assign(recs: DataFrame, slot_map: DataFrame, grown: DataFrame | None = None)
     turn = F.row_number().over(Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "size", "text_crc32"))
     return (recs.withColumn("turn", turn).join(F.broadcast(placed), ["virtual_slot", "lane"])
             .withColumn("slot", F.col("before") + F.col("turn") - 1).drop("turn", "before", "lane"))
+
+
+def place_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, str, list[str]]:
+    """Each record's shard under a map edited by the slots' bytes: the placed records, with the shard of version 1 as
+    ``first_shard``; the folder of the map's versions; and the other paths written. Texts are read once."""
+    spark = docs.sparkSession
+    recs, path = written(records(docs, id_col, text_col, n_slots, by_text=True), "slot-records")
+    stats, other = written(slot_stats(recs), "slot-stats")
+    maps = shared_path(spark, "slot-maps")
+    save_map(initial_map(spark, n_shards, n_slots), maps, 1)
+    save_map(rebalance(load_map(spark, maps, 1), stats), maps, 2)
+    first = load_map(spark, maps, 1).select("virtual_slot", F.col("shard").alias("first_shard"))
+    placed = assign(recs, load_map(spark, maps, 2)).join(F.broadcast(first), "virtual_slot")
+    return placed, maps, [path, other]

@@ -39,6 +39,33 @@ def test_slot_maps_are_versioned_and_rebalanced(spark, scratch):
     assert max(loads) < 1.1 * sum(loads) / 3 and {r["version"] for r in second.collect()} == {2}
 
 
+@pytest.mark.parametrize("docs", [DOCS, []])
+def test_shards_by_bytes_keep_every_row(spark, docs):
+    placed, maps, _ = sharding.place_by_bytes(frame(spark, docs), 8)
+    rows = placed.collect()
+    assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted((len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())) for d in docs)
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    stored = {r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, maps, 2).collect()}
+    assert len(stored) == sharding.N_SLOTS and all(stored[r["virtual_slot"]] == r["shard"] for r in rows)
+
+
+def test_shards_by_bytes_are_near_equal(spark):
+    rng = random.Random(9)
+    # a hot id with a third of the rows, and texts of very different lengths
+    docs = [(k if k % 3 else 7, f"{k} " + "x" * int(rng.paretovariate(1.1) * 20 % 9000), "en", "s", 0) for k in range(3000)]
+    rows = sharding.place_by_bytes(frame(spark, docs), 8)[0].collect()
+
+    def loads(column):
+        found = Counter()
+        for r in rows:
+            found[r[column]] += r["size"]
+        return found
+
+    mean = sum(r["size"] for r in rows) / 8
+    assert len(rows) == 3000 and len(loads("shard")) == 8 and max(loads("shard").values()) <= 1.02 * mean < max(loads("first_shard").values())
+
+
 def _components(docs):
     sets = {}
     for d in docs:
