@@ -102,7 +102,7 @@ def _write_rows(articles: DataFrame, base: str) -> dict | None:
 
 def _replaced(log: ArticleLog, names: DataFrame) -> dict | None:
     """Tombstones of the live rows with these file names."""
-    small = count_upto(names, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
+    small = count_upto(names.select("filename"), MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS
     dead = log.keys.join(maybe_broadcast(names.select("filename"), small), "filename", "left_semi")
     return _write(dead.select("filename", F.col("seg").alias("of")), log.base, "gone")
 

@@ -140,12 +140,13 @@ def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5
     Columns: ``query_id, query, rank, article_id, title, preview, score,
     publish_date, author, total``.
     """
-    n_queries = count_upto(queries, max_broadcast_rows)
+    n_queries = count_upto(queries.select("query_id", "query"), max_broadcast_rows)
     q_small = n_queries <= max_broadcast_rows
     hits = bm25_topk(queries, index, k, max_broadcast_rows=max_broadcast_rows)
     hits = hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")).cast("long"))
-    hits = hits.join(maybe_broadcast(queries.select("query_id", "query"), q_small), "query_id")
     rows = attach_articles(hits, articles, n_queries * k if q_small else None, max_broadcast_rows)
+    # the query's text joins after the articles, so that hits carry no text and it's broadcast once, not k times
+    rows = rows.join(maybe_broadcast(queries.select("query_id", "query"), q_small), "query_id")
     rows = with_snippet(rows, "content", "query", "preview")
     return rows.select(
         "query_id", "query", "rank", "article_id", "title", "preview",

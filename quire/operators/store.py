@@ -158,7 +158,7 @@ def classify_import(stored: DataFrame, incoming: DataFrame, run_ts: str,
     # an increment that is proven small is looked up without shuffling the
     # store (the store streams once past the broadcast file names); otherwise
     # a sort-merge join on the key
-    n = incoming_bound if incoming_bound is not None else count_upto(incoming, max_broadcast_rows)
+    n = incoming_bound if incoming_bound is not None else count_upto(incoming.select("filename"), max_broadcast_rows)
     j = lookup_join(incoming, s, "filename", "s_filename", small_is_bounded=n <= max_broadcast_rows)
     differs = F.lit(False) if compare == "content" else ~F.col("publish_date").eqNullSafe(F.col("s_publish_date"))
     for c in texts:

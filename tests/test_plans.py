@@ -2,10 +2,11 @@
 
 import pytest
 
-from quire.operators import listing, store
+from quire.operators import listing, sizing, store
+from quire.operators.answer import answer_questions, flatten_answers
 from quire.operators.index import build_index, load_index, save_index
 from quire.operators.parse import good_rows, parse_articles
-from quire.operators.search import bm25_topk
+from quire.operators.search import bm25_topk, search
 from quire.schemas import ARTICLES
 from quire.session import cut_lineage
 from quire.sources.tables import (archive_as_raw_files, derived_archive, import_scenario,
@@ -42,6 +43,37 @@ def test_loaded_index_scans_bucketed(spark, corpus, scratch):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_sizes_are_bounded_by_bytes_too(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "ä" * 100, {"k": "v" * 100}, [None, "w"]), (2, None, None, None)],
+                                 "`a.b` long, text string, m map<string,string>, a array<string>")
+    assert sizing.count_upto(rows, 10) == 2 and sizing.count_upto(rows, 1) == 2 and sizing.count_upto(rows.limit(0), 0) == 0
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", 390)  # 64 + 200 for the text + 108 and 10 as JSON
+    assert sizing.count_upto(rows, 10) == 2 and sizing.count_upto(rows, 10, copies=2) == 11
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", 300)
+    assert sizing.count_upto(rows, 10) == 11 and sizing.count_upto(rows.select("`a.b`"), 10) == 2
+
+
+def test_long_queries_are_not_broadcast(spark, corpus, monkeypatch):
+    arts, idx = corpus
+    queries = load_queries(spark, SF_SMALL)
+    whole = search(arts, queries, idx, 3).collect()
+    answers = flatten_answers(answer_questions(queries, arts, idx)).collect()
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", 100)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for key, value in off.items():
+            spark.conf.set(key, value)
+        rows = search(arts, queries, idx, 3)
+        plan = executed(rows)
+        found = rows.collect()
+        again = flatten_answers(answer_questions(queries, arts, idx)).collect()
+    finally:
+        for key in off:
+            spark.conf.unset(key)
+    assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan
+    assert sorted(found) == sorted(whole) and sorted(map(str, again)) == sorted(map(str, answers))
+
+
 def test_import_does_not_shuffle_the_store(spark):
     docs = read_table(spark, SF_SMALL, "documents")
     stored_raw, incoming_raw = import_scenario(docs)
