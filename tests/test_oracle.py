@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-TABLES = ("documents benchmark conversations labels").split()
+TABLES = "documents benchmark conversations labels pages".split()
 
 
 def norm(v):
