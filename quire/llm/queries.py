@@ -48,9 +48,12 @@ def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(quality.measures(documents(spark, sf_dir)))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-                         "n_tokens", "chars_per_token", "byte_share", "token_entropy", "in_band")
+    measured, path = written(quality.measures(documents(spark, sf_dir)), "measures")
+    bands, bands_path = quality.fit(measured)
+    judged = quality.judge(measured, bands)
+    rows = judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "n_tokens", "chars_per_token", "byte_share", "token_entropy", "in_band", "outside")
+    return _finished(rows, "op6", [path, bands_path])
 
 
 def op7_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
