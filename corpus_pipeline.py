@@ -17,14 +17,16 @@ from quire.llm import decontaminate, neardup, packing, quality, secrets
 from quire.llm.common import documents, drop, importable, written
 
 
-#: Tables that the last stage's result reads until it's written.
+#: Tables that a stage's result reads until it's written.
 _read_by_result: list[str] = []
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     importable(spark)
-    return quality.good(docs)
+    kept, paths = quality.good(docs)
+    _read_by_result.extend(paths)
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
