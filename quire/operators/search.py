@@ -60,8 +60,9 @@ def weighted_query_terms(query_terms: DataFrame, index: TextIndex,
     small = count_upto(query_terms, max_broadcast_rows) <= max_broadcast_rows
     n = index.n_docs()
     qt = index.term_stats.join(maybe_broadcast(query_terms, small), "term")
+    others = [c for c in query_terms.columns if c not in ("query_id", "term")]
     qt = qt.select("query_id", "term", "df",
-                   F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+                   F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), *others)
     return qt, small
 
 
@@ -73,7 +74,9 @@ def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = K1, b: float =
 
     A candidate has at least one query term. Scores are rounded to
     ``SCORE_DIGITS`` places so the ranking does not depend on summation order.
-    ``weighted`` passes precomputed ``weighted_query_terms`` output.
+    ``weighted`` passes precomputed ``weighted_query_terms`` output; where that
+    has ``must`` (1 for a term that an article must hold, else 0) and ``need``
+    (how many such terms the query has), other articles are no candidates.
     """
     if weighted is None:
         weighted = weighted_query_terms(query_term_table(queries, text_col), index, max_broadcast_rows)
@@ -83,11 +86,15 @@ def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = K1, b: float =
 
     # beyond the bound the postings are shuffled by term, once for any number
     # of query terms; adaptive execution splits the hot terms' partitions
-    sums = p.join(maybe_broadcast(qt.select("term", "query_id", "idf"), small), "term").select(
-        "query_id", "article_id",
+    asked = [c for c in ("must", "need") if c in qt.columns]
+    sums = p.join(maybe_broadcast(qt.select("term", "query_id", "idf", *asked), small), "term").select(
+        "query_id", "article_id", *asked,
         (F.col("idf") * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w")) \
-        .groupBy("query_id", "article_id").agg(F.sum("w").alias("w"))
+        .groupBy("query_id", "article_id").agg(
+            F.sum("w").alias("w"), *([F.sum("must").alias("have"), F.max("need").alias("need")] if asked else []))
+    if asked:
+        sums = sums.filter(F.col("have") >= F.col("need"))
     return sums.select("query_id", "article_id", F.round("w", SCORE_DIGITS).alias("score"))
 
 
@@ -160,6 +167,8 @@ def search(articles: DataFrame, queries: DataFrame, index: TextIndex, k: int = 5
 OPERATOR_PATTERN = '(?:^|\\s)-"[^"]*"|"[^"]*"|(?:^|\\s)-[^\\s"]+'
 # From the first to the last token character of a word.
 INNER_PATTERN = "[\\p{L}\\p{N}_].*[\\p{L}\\p{N}_]"
+# A token of a phrase with other characters on both sides.
+WHOLE_WORD_PATTERN = "(?<=[^\\p{L}\\p{N}_])[\\p{L}\\p{N}_]+(?=[^\\p{L}\\p{N}_])"
 
 
 def parse_text_query(queries: DataFrame) -> DataFrame:
@@ -197,34 +206,58 @@ def parse_text_query(queries: DataFrame) -> DataFrame:
     )
 
 
+def phrase_scores(parsed: DataFrame, index: TextIndex,
+                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """scores of the articles that can hold all phrases of their query.
+
+    A phrase is contained as text, so its first and last word may be parts of
+    longer ones. The words between them stand whole in the article, so the
+    postings decide on those, in the aggregate that sums the scores: no article
+    text and no further shuffle. Needs an index of both title and content.
+    """
+    words = F.flatten(F.transform("phrases", lambda s: F.regexp_extract_all(s, F.lit(WHOLE_WORD_PATTERN), 0)))
+    terms = parsed.withColumn("_whole", F.array_distinct(words)).select(
+        "query_id", F.size("_whole").alias("need"), "_whole",
+        F.explode(F.array_distinct(tokens(F.col("positive")))).alias("term")).filter(F.col("term").isNotNull())
+    terms = terms.select("query_id", "term", F.array_contains("_whole", F.col("term")).cast("int").alias("must"), "need")
+    return bm25_scores(parsed, index, max_broadcast_rows=max_broadcast_rows,
+                       weighted=weighted_query_terms(terms, index, max_broadcast_rows))
+
+
 def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex,
                        max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """T3 candidates after F4: ``(query_id, article_id, score)``."""
+    """T3 candidates after F4: ``(query_id, article_id, score)``.
+
+    Queries with phrases are scored apart from the others, so that only their
+    candidates are written down and have their text read.
+    """
     parsed = parse_text_query(queries)
-    scores = bm25_scores(parsed.select("query_id", F.col("positive").alias("query")), index,
-                         max_broadcast_rows=max_broadcast_rows)
     # exclusions: anti join with postings of the excluded terms
     excl = parsed.select("query_id", F.explode(F.array_distinct("excluded")).alias("term"))
     n_excl = count_upto(excl, max_broadcast_rows)
-    if n_excl > 0:
+
+    def scored(asked: DataFrame, with_phrases: bool = False) -> DataFrame:
+        scores = (phrase_scores(asked, index, max_broadcast_rows)
+                  if with_phrases and {"title", "content"} <= set(index.fields) else
+                  bm25_scores(asked.select("query_id", F.col("positive").alias("query")), index,
+                              max_broadcast_rows=max_broadcast_rows))
+        if n_excl == 0:
+            return scores
         banned = index.postings.select("term", "article_id") \
             .join(maybe_broadcast(excl, n_excl <= max_broadcast_rows), "term").select("query_id", "article_id")
-        scores = scores.join(banned, ["query_id", "article_id"], "left_anti")
-    # phrases: only candidates of queries that have phrases are checked
-    with_phr = parsed.filter((F.size("phrases") > 0) | (F.size("excluded_phrases") > 0)) \
-        .select("query_id", "phrases", "excluded_phrases")
+        return scores.join(banned, ["query_id", "article_id"], "left_anti")
+
+    checks = (F.size("phrases") > 0) | (F.size("excluded_phrases") > 0)
+    with_phr = parsed.filter(checks).select("query_id", "phrases", "excluded_phrases")
     n_phr = count_upto(with_phr, max_broadcast_rows)
     if n_phr == 0:
-        return scores
-    # both branches below read the candidates: score them once
+        return scored(parsed)
     from ..session import cut_lineage
-    scores = cut_lineage(scores)
-    cand = scores.join(maybe_broadcast(with_phr, n_phr <= max_broadcast_rows), "query_id", "left")
-    plain = cand.filter(F.col("phrases").isNull()).select("query_id", "article_id", "score")
-    # candidates of phrase queries are counted cheaply (checkpointed above);
-    # when bounded they are broadcast and the article text streams past them
-    # (with bucket pruning on a bucketed store), else a shuffle join
-    phr_cand = cand.filter(F.col("phrases").isNotNull())
+    cand = cut_lineage(scored(parsed.filter(checks), with_phrases=True))
+    # once written they are counted cheaply; when bounded they are broadcast
+    # and the article text streams past them (with bucket pruning on a bucketed
+    # store), else a shuffle join
+    phr_cand = cand.join(maybe_broadcast(with_phr, n_phr <= max_broadcast_rows), "query_id")
     phr_small = count_upto(phr_cand, max_broadcast_rows) <= max_broadcast_rows
     extra = ["bucket"] if "bucket" in articles.columns else []
     checked = (join_hits(articles.select("article_id", *extra, "title", "content"), phr_cand, phr_small)
@@ -233,7 +266,7 @@ def text_search_scores(queries: DataFrame, articles: DataFrame, index: TextIndex
                .filter(F.forall("phrases", lambda s: F.col("_body").contains(s) | F.col("_head").contains(s))
                        & ~F.exists("excluded_phrases", lambda s: F.col("_body").contains(s) | F.col("_head").contains(s)))
                .select("query_id", "article_id", "score"))
-    return plain.unionByName(checked)
+    return scored(parsed.filter(~checks)).unionByName(checked)
 
 
 def text_search(queries: DataFrame, articles: DataFrame, index: TextIndex, k: int = 10,
