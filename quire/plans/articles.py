@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import listing, store
 from ..operators.parse import error_rows, good_rows, parse_articles
 from ..session import shared_path
-from ..sources.archive import literal_path
+from ..sources.archive import bare_to_articles, literal_path
 from ..sources.tables import (archive_as_raw_files, derived_archive, import_scenario,
                               read_table)
 from ..streaming.ingest import read_store, upsert_batch
@@ -74,6 +74,16 @@ def archive_parse_blank_files(spark, sf_dir):
     return good_rows(parse_articles(archive_as_raw_files(blank), "text")).select("filename", "title", "source", "content")
 
 
+@register("bare_articles", """
+select substr(sha256(coalesce(text, '')), 1, 24) as article_id, max(text) as content,
+       cast(null as varchar) as title, cast(null as varchar) as author, cast(null as varchar) as publish_date_raw
+from documents group by 1""")
+def bare_articles(spark, sf_dir):
+    """The texts alone as articles without metadata, equal ones once."""
+    texts = read_table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
+    return bare_to_articles(texts).select("article_id", "content", "title", "author", "publish_date_raw")
+
+
 @register("archive_count", f"""
 with {TEXT_ARTICLES}
 select cast(count(*) as bigint) as total from arts""")

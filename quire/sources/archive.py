@@ -71,7 +71,7 @@ def literal_documents(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 
 def bare_to_articles(bare: DataFrame) -> DataFrame:
-    """Bare documents as articles: id from the content hash, no metadata."""
-    return conform_articles(bare.select(
-        F.substring(F.sha2(F.coalesce("content", F.lit("")), 256), 1, 24).alias("article_id"),
-        "content"))
+    """Bare documents as articles: id from the content hash, no metadata. Equal
+    documents are one article, as an id names one; null and empty are equal."""
+    ids = F.substring(F.sha2(F.coalesce("content", F.lit("")), 256), 1, 24)
+    return conform_articles(bare.groupBy(ids.alias("article_id")).agg(F.max("content").alias("content")))
