@@ -153,3 +153,24 @@ def test_filters_reach_the_blocks(spark, corpus, scratch, monkeypatch):
     expected = rows(filtered_search(queries, articles, build_index(articles, materialize=True), allowed, 5))
     assert expected and rows(segments.segment_topk(queries, index, 5, only=articles.where(filter_condition(allowed)))) == expected
     assert segments.segment_topk(queries, index, 5, only=articles.where("false")).count() == 0
+
+
+def test_terms_that_add_little_find_no_candidates(spark, scratch, monkeypatch):
+    """Only the needed terms' postings are read, also with an id of several rows; the vectors are written once."""
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    rng = random.Random(9)
+    data = [(f"x{k:03}", "the of " + " ".join(rng.choice(["the", "of", "in", f"w{k % 40}"]) for _ in range(rng.randrange(3, 20)))) for k in range(400)]
+    data += [("x001", "the of w1 w1"), ("x002", "the the w7"), (None, "of w3")]
+    articles = spark.createDataFrame(data, "article_id string, content string")
+    queries = spark.createDataFrame([(1, "the of w1"), (2, "of in w3 w7"), (3, "the of"), (4, "w39 the unknown")], "query_id long, query string")
+    monkeypatch.setattr(segments, "cut_lineage", lambda df: pytest.fail("the vectors are written twice"))
+    monkeypatch.setattr("quire.operators.index.cut_lineage", lambda df, **kw: pytest.fail("the vectors are written twice"))
+    index = segments.add(articles, scratch + "/index", parts=4)
+    monkeypatch.undo()
+    weighted = segments.weighted_terms(queries, index)
+    threshold = segments._threshold(segments._first_scores(segments.block_bounds(weighted, index), weighted, index, 1.2, 0.75, 1000), 3)
+    needed = {(r["query_id"], r["term"]) for r in segments._needed(threshold, weighted, index, 1.2, 0.75, 1000).collect()}
+    assert (1, "the") not in needed and (1, "w1") in needed and (4, "w39") in needed
+    expected = built(articles, queries, 3)
+    assert rows(segments.segment_topk(queries, index, 3)) == expected
+    assert rows(segments.segment_topk(queries, index, 3, max_broadcast_rows=2)) == expected, "beyond the broadcast bound"
