@@ -86,8 +86,13 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 _PAIR = 170
 
 
+def _length(value) -> int:
+    """Bytes or characters of a string; a number is counted with its object head."""
+    return len(value) if hasattr(value, "__len__") else 0
+
+
 class Remembered(dict):
-    """Values of ``make(key)``, both byte strings or strings, for about ``most`` bytes of them. When full, the later half
+    """Values of ``make(key)``, strings, byte strings or numbers, for about ``most`` bytes of them. When full, the later half
     goes: frequent keys are met early."""
 
     def __init__(self, make: Callable, most: int):
@@ -98,9 +103,9 @@ class Remembered(dict):
         if self.held >= self.most:
             for late in list(self)[len(self) // 2:]:
                 del self[late]
-            self.held = sum(len(k) + len(v) for k, v in self.items()) + _PAIR * len(self)
+            self.held = sum(_length(k) + _length(v) for k, v in self.items()) + _PAIR * len(self)
         value = self[key] = self.make(key)
-        self.held += len(key) + len(value) + _PAIR
+        self.held += _length(key) + _length(value) + _PAIR
         return value
 
 
@@ -121,3 +126,4 @@ def release() -> None:
     if _KEPT:
         _KEPT.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()

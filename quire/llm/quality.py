@@ -81,7 +81,7 @@ class Fertility:
         size = self.model.get_piece_size()
         self.is_byte = np.fromiter((self.model.is_byte(k) for k in range(size)), bool, size)
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
-        self.words = Remembered(self._word, 96 << 20)
+        self.words = Remembered(self._word, 48 << 20)
 
     def _word(self, word: bytes) -> bytes:
         return np.asarray(self.model.encode(word.decode()), self.dtype).tobytes()

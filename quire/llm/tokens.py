@@ -62,7 +62,7 @@ class Encoder:
         pattern = _SPACED if spaces else _WORDS
         self.ascii = re.compile(pattern.replace("{L}", _ASCII), re.ASCII).findall
         self.latin = re.compile(pattern.replace("{L}", _LATIN), re.ASCII).findall
-        self.pieces = Remembered(self._piece, 192 << 20)
+        self.pieces = Remembered(self._piece, 96 << 20)
         self.units = Remembered(self._unit, 32 << 20)
 
     def encode(self, text: str) -> bytes:
