@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import search
 from quire.operators.index import build_index
@@ -107,3 +108,15 @@ def test_plain_queries_are_not_written_down(spark, corpus, monkeypatch):
     q = spark.createDataFrame([(1, "red dog"), (2, '"fox jumps over"'), (3, "lazy")], "query_id long, query string")
     assert {r["query_id"] for r in search.text_search_scores(q, arts, idx).collect()} == {1, 2, 3}
     assert [{r["query_id"] for r in df.collect()} for df in written] == [{2}]
+
+
+def test_excluded_terms_are_decided_in_the_aggregate(spark):
+    """No join of all scores with all postings of excluded terms; a null id equals none, repeated ids are one article."""
+    data = [("a", "red fox"), ("b", "red hen"), ("c", "blue fox"), ("c", "red hen"), (None, "red fox"), ("d", "hen")]
+    articles = spark.createDataFrame(data, "article_id string, content string").withColumn("title", F.lit(None).cast("string"))
+    index = build_index(articles, ("title", "content"), materialize=True)
+    queries = spark.createDataFrame([(1, "red -fox"), (2, "red -unknown"), (3, "fox -fox"), (None, "red -fox"), (4, "-hen")], "query_id long, query string")
+    scores = search.text_search_scores(queries, articles, index)
+    found = sorted(((r["query_id"], r["article_id"]) for r in scores.collect()), key=str)
+    assert found == sorted([(1, "b"), (1, None), (2, "a"), (2, "b"), (2, "c"), (2, None), (3, None), (None, "a"), (None, "b"), (None, "c"), (None, None)], key=str)
+    assert "LeftAnti" not in scores._jdf.queryExecution().executedPlan().toString()
