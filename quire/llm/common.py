@@ -105,7 +105,10 @@ class Remembered(dict):
                 del self[late]
             self.held = sum(_length(k) + _length(v) for k, v in self.items()) + _PAIR * len(self)
         value = self[key] = self.make(key)
-        self.held += _length(key) + _length(value) + _PAIR
+        try:
+            self.held += len(key) + len(value) + _PAIR
+        except TypeError:  # a number
+            self.held += _length(key) + _length(value) + _PAIR
         return value
 
 

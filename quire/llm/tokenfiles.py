@@ -50,7 +50,7 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(name, "uint16", added=True).encode
+        ids_of = encoder(name, "uint16", added=True).encode_all
         part, closing = TaskContext.get().partitionId(), np.uint16(end).tobytes()
         file, size, doc_ids, coded = 0, 0, [], []
 
@@ -63,9 +63,10 @@ def token_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             for rows in slices(batch, "text"):
-                for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts(rows, "text")):
+                found = ids_of([text.decode() for text in texts(rows, "text")])
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), found):
                     doc_ids.append(doc_id)
-                    coded.append(ids_of(text.decode()) + closing)
+                    coded.append(ids + closing)
                     size += len(coded[-1]) // 2
                     if size >= FILE_IDS:
                         yield group()

@@ -46,6 +46,40 @@ def test_added_tokens_have_their_ids(name):
         assert np.frombuffer(ours.encode(text), np.uint16).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_runs_of_texts_give_the_ids_of_each_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ours, rng = encoder("word_bpe_49k.json", "uint16", added=True), random.Random(6)
+    some = ["".join(rng.choice(" \n\t\r\x0b\x0c\x00\x1c\x7f\x85\xa0 aBz's're'LL09.,!-é×\u0301\u0338=²½日ƁȺİΣ’₤") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for texts in (["", "a"], ["a", ""], [""], ["", ""], [" ", "1a", "a1", ".", "11"], ODD + [d[1] for d in HOLDS] + some):
+        assert [np.frombuffer(ids, np.uint16).tolist() for ids in ours.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ours.encode_all([]) == []
+
+
+def test_letters_whose_lower_case_is_outside_of_the_range():
+    text = "aƁb ȺX ɅɄ"
+    assert np.frombuffer(encoder("word_bpe_49k.json", "uint16").encode(text), np.uint16).tolist() == default_ids("word_bpe_49k.json", text)
+
+
+def test_known_words_of_a_run_are_looked_up_once():
+    ours = encoder("word_bpe_49k.json", "uint16", added=True)
+    units, asked = ours.units, []
+
+    class Counted(type(units)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    ours.units = Counted(units.make, units.most)
+    try:
+        ours.encode_all(["one two, one (two) one.\n" * 200, "two one"] * 10)
+    finally:
+        ours.units = units
+    assert sorted(filter(None, asked)) == ["(", ")", ",", ".", "one", "two"]
+
+
 def test_token_files_and_packing_hold_added_tokens(spark):
     rows = sorted(tokenfiles.round_trip(frame(spark, HOLDS))[0].collect(), key=lambda r: r["start"])
     ids = [default_ids("word_bpe_49k.json", d[1]) + [1] for d in HOLDS]
