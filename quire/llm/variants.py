@@ -14,6 +14,10 @@ one of the two chunks of that rest as well, and a pair is joined on the chunk
 and the rest's chunk, ``DEPTH`` chunks in all. Joined words are verified by
 their edit distance.
 
+No join here broadcasts a side. Spark takes a side's size from that of the
+table's files, which are compressed and have one row where an explode makes up
+to eight, so what it takes for 10 MB can be more than a driver holds.
+
 Defined results: null and empty texts have no words; a null id is the empty
 string in front of the colon; rows of one id each count; long texts are read in
 pieces that end between runs; of near words with the same count the first in
@@ -118,7 +122,7 @@ def near_words(words: DataFrame, depth: int = DEPTH) -> DataFrame:
     grams = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"),
                          F.explode(F.array_union(signatures(F.col("word"), size, depth), signatures(F.col("word"), size + 1, depth))).alias("key"))
     once = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") > F.col("b")))
-    met = chunks.join(grams, (chunks["key"] == grams["key"]) & once & (F.levenshtein("a", "b", 1) == 1))
+    met = chunks.join(grams.hint("merge"), (chunks["key"] == grams["key"]) & once & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
@@ -129,7 +133,7 @@ def forms(words: DataFrame, depth: int = DEPTH) -> DataFrame:
                                           F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))).alias("p")).select("p.*")
     # UTF-8 strings compare in code-point order
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     often = -F.col("best.less") >= 2 * F.col("n")
     return found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(often, F.col("best.other")).alias("form"),
                         F.when(often, -F.col("best.less")).alias("form_n"))
@@ -142,11 +146,11 @@ def rooted(found: DataFrame) -> tuple[DataFrame, list[str]]:
     steps, path = written(found.where("form is not null").select("word", F.col("form").alias("root")), "variants-steps")
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        gone, next_path = written(steps.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "variants-steps")
+        gone, next_path = written(steps.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "variants-steps")
         drop(spark, path)
         steps, path = gone.select("word", "root"), next_path
         if not gone.where("moved").limit(1).count():
-            return found.join(steps, "word", "left").withColumn("root", F.coalesce("root", "word")), [path]
+            return found.join(steps.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word")), [path]
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> tuple[DataFrame, list[str]]:

@@ -85,6 +85,18 @@ def test_variants_match_a_plain_version(spark, depth):
     assert any(r[1] and r[2] != r[1] for r in expected), "some way has more than one step"
 
 
+def test_no_side_of_the_variants_is_broadcast(spark, scratch):
+    # the files are small, the keys of their words are many times larger
+    spark.createDataFrame([(f"word{n}", n) for n in range(2000)], "word string, n long").write.parquet(f"{scratch}/words")
+    words = spark.read.parquet(f"{scratch}/words")
+    found = variants.forms(words)
+    assert found.count() == 2000
+    ways, _ = variants.rooted(found)
+    for df in (variants.near_words(words), found, ways):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_variants_of_an_empty_table(spark):
     importable(spark)
     assert variants.variants(frame(spark, DOCS).where("false"))[0].count() == 0
